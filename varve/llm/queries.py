@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, packing, quality, sharding, tokens
+from . import chat, media, neardup, packing, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sharding.shard(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_packing": op6_packing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_media_columns": op10_media_columns,
 }
@@ -85,4 +90,19 @@ select conv_id, count(*) as n_turns,
   sum(written)::bigint as formatted_chars,
   bool_and((before || '>' || role) in ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') and (not is_last or role = 'assistant')) as valid_order
 from stepped group by conv_id""",
+    "op8_minhash_near_dedup": """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), sets as materialized (
+  select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words
+), items as materialized (select doc_id, unnest(s) as x from sets),
+common as materialized (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from items a join items b on a.x = b.x and a.doc_id < b.doc_id group by all
+), links as materialized (
+  select a, b from common join sets p on p.doc_id = a join sets q on q.doc_id = b where 100 * n >= 80 * (len(p.s) + len(q.s) - n)
+), both_ways as materialized (select a, b from links union all select b, a from links),
+reach(v, u) as (select doc_id, doc_id from documents union select r.v, e.b from reach r join both_ways e on e.a = r.u)
+select s.doc_id, len(s.s) as n_shingles, m.component_id, s.doc_id = m.component_id as kept
+from sets s join (select v, min(u) as component_id from reach group by v) m on m.v = s.doc_id""",
 }
