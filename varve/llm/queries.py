@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, neardup, packing, quality, sharding, tokens
+from . import chat, media, neardup, packing, quality, sharding, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.deduplicate_passages(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), "cluster_id", F.crc32(F.col("clean").cast("binary")).alias("clean_crc32"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +68,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_packing": op6_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
