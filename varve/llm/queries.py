@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, neardup, packing, quality, sharding, substring, tokens
+from . import chat, embedding, media, neardup, packing, quality, sharding, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_packing": op6_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sharding": op9_sharding,
@@ -96,6 +101,19 @@ select conv_id, count(*) as n_turns,
   sum(written)::bigint as formatted_chars,
   bool_and((before || '>' || role) in ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') and (not is_last or role = 'assistant')) as valid_order
 from stepped group by conv_id""",
+    "op5_embedding_near_dedup": """
+with recursive v as materialized (
+  select vec_id, label, embedding::double[] as e from embeddings
+), fine as materialized (
+  select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+  where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+), links as materialized (
+  select a.vec_id as a, b.vec_id as b from fine a join fine b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e)
+  where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), both_ways as materialized (select a, b from links union all select b, a from links),
+reach(v, u) as (select vec_id, vec_id from embeddings union select r.v, e.b from reach r join both_ways e on e.a = r.u)
+select v.vec_id, (select count(*) from both_ways e where e.a = v.vec_id) as n_links, m.component_id, v.vec_id = m.component_id as kept
+from embeddings v join (select v as vec_id, min(u) as component_id from reach group by v) m using (vec_id)""",
     "op8_minhash_near_dedup": """
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
