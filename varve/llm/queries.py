@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding, media, neardup, packing, quality, sharding, substring, tokens
+from . import chat, embedding, media, mixing, neardup, packing, quality, sharding, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: Shares of the expected tokens by domain.
+TARGETS = {"good": 0.9, "poor": 0.05, "toxic": 0.05}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -76,6 +84,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_media_columns": op10_media_columns,
