@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, jaccard_at_least, keep
+from .common import components, jaccard_at_least, keep
 
 #: A path is LEVELS bytes in a long, the first level uppermost.
 LEVELS = 8
 
 
-def _near(tree, path, ids, n, lo: int, window: int, depth: int, percent: int):
-    """Pairs (i, j), i < j <= i + window and j >= lo, whose paths share ``depth`` levels and whose set sizes allow ``percent``."""
+def _near(tree, path, ids, n, lo: int, window: int, depth: int, percent: int, pos=None):
+    """Pairs (i, j), i < j <= i + window and j >= lo, whose paths share ``depth`` levels and whose set sizes allow ``percent``.
+
+    ``pos`` is the place of each row in its region; beyond ``window`` only the next neighbour is paired.
+    """
     top, out = path >> np.int64(64 - 8 * depth) if depth < LEVELS else path, []
     for s in range(1, window + 1):
         j = np.arange(max(s, lo), len(ids))
         i = j - s
-        out.append(_fit(ids, n, i, j, (top[i] == top[j]) & (tree[i] == tree[j]), percent))
+        same = (top[i] == top[j]) & (tree[i] == tree[j])
+        if pos is not None and s > 1:
+            same &= pos[j] <= window
+        out.append(_fit(ids, n, i, j, same, percent))
     return out
 
 
@@ -48,11 +54,12 @@ _SCHEMA = "a bigint, b bigint, gap bigint, tree bigint, path bigint, n bigint"
 def forest_pairs(rows: DataFrame, depth: int, window: int, percent: int, parts: int) -> DataFrame:
     """Distinct candidate pairs (a, b), a < b, of ``rows`` (tree, path, id, n), which must be a written table.
 
-    In each tree's sorted order a row is paired with the next ``window`` rows that share at least ``depth``
-    levels (its longest-common-prefix neighbours: where a region is dense, these share more levels), and with the first
-    row of each region it lies in, at every depth from ``depth`` down. So a region of any size gives a number of pairs in
-    proportion to its rows, all of them connected. The order is range-partitioned, also within a region and within equal
-    paths; the neighbours on both sides of a cut are paired in a second small pass.
+    In each tree's sorted order, rows that share at least ``depth`` levels form a region. The first ``window`` + 1 rows of a
+    region are paired with each other, which is all of most regions. Where a region is denser, depth adapts: sorted
+    neighbours there share the most levels of all, and each further row is paired with its nearest neighbour, with the first
+    row of the region and with the first that shares its whole path. So a region of any size gives pairs in proportion to
+    its rows, all of them connected, and every tree sorts it anew. The order is range-partitioned, also within a region and
+    within equal paths; the neighbours on both sides of a cut are paired in a second small pass.
     """
     keys = ["tree", "path", "id"]
     ordered = rows.select(*keys, "n").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
@@ -60,16 +67,15 @@ def forest_pairs(rows: DataFrame, depth: int, window: int, percent: int, parts:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        gap, last, first_rows = TaskContext.get().partitionId(), None, None
+        gap, last, first_rows, seen = TaskContext.get().partitionId(), None, None, 0
         leaders: dict[int, tuple] = {}
         for batch in batches:
             got = [batch.column(c).to_numpy().astype(np.int64) for c in ("tree", "path", "id", "n")]
             if not len(got[0]):
                 continue
-            lo = 0 if last is None else len(last[0])
-            tree, path, ids, n = got if last is None else [np.concatenate(x) for x in zip(last, got)]
-            pairs = _near(tree, path, ids, n, lo, window, depth, percent)
-            for d in range(depth, LEVELS + 1):
+            lo, here = 0 if last is None else len(last[0]), seen + np.arange(len(got[0]))
+            extra, region = [], None
+            for d in (depth, LEVELS) if depth < LEVELS else (LEVELS,):
                 top = got[1] >> np.int64(64 - 8 * d) if d < LEVELS else got[1]
                 fresh = np.ones(len(top), bool)
                 fresh[1:] = (top[1:] != top[:-1]) | (got[0][1:] != got[0][:-1])
@@ -78,20 +84,23 @@ def forest_pairs(rows: DataFrame, depth: int, window: int, percent: int, parts:
                     fresh[0] = False
                 start = np.maximum.accumulate(np.where(fresh, np.arange(len(top)), -1))
                 mine = start >= 0
-                lead_id = np.where(mine, got[2][start], lead[2] if lead else -1)
-                lead_n = np.where(mine, got[3][start], lead[3] if lead else 0)
-                far = ~mine | (np.arange(len(top)) - start > window)
-                j = np.flatnonzero(far & (lead_id != got[2]) & (100 * np.minimum(lead_n, got[3]) >= percent * np.maximum(lead_n, got[3])))
-                pairs.append((np.minimum(lead_id[j], got[2][j]), np.maximum(lead_id[j], got[2][j])))
-                leaders[d] = (got[0][-1], top[-1], int(lead_id[-1]), int(lead_n[-1]))
+                lead_id, lead_n, lead_at = (np.where(mine, column[start], old) for column, old in zip((got[2], got[3], here), lead[2:] if lead else (-1, 0, 0)))
+                region = here - lead_at if region is None else region
+                j = np.flatnonzero((here - lead_at > window) & (lead_id != got[2]) & (100 * np.minimum(lead_n, got[3]) >= percent * np.maximum(lead_n, got[3])))
+                extra.append((np.minimum(lead_id[j], got[2][j]), np.maximum(lead_id[j], got[2][j])))
+                leaders[d] = (got[0][-1], top[-1], int(lead_id[-1]), int(lead_n[-1]), int(lead_at[-1]))
+            seen += len(got[0])
+            got.append(region)
+            tree, path, ids, n, pos = got if last is None else [np.concatenate(x) for x in zip(last, got)]
+            pairs = _near(tree, path, ids, n, lo, window, depth, percent, pos) + extra
             if first_rows is None:
-                first_rows = [x[:window] for x in got]
+                first_rows = [x[:window] for x in got[:4]]
                 yield _batch(pairs, (gap, first_rows))
             else:
                 yield _batch(pairs)
-            last = [x[-window:] for x in (tree, path, ids, n)]
+            last = [x[-window:] for x in (tree, path, ids, n, pos)]
         if last is not None:
-            yield _batch([], (gap + 1, last))
+            yield _batch([], (gap + 1, last[:4]))
 
     found = keep(ordered.mapInArrow(scan, _SCHEMA))
 
@@ -104,9 +113,30 @@ def forest_pairs(rows: DataFrame, depth: int, window: int, percent: int, parts:
     return found.where("gap < 0").select("a", "b").unionByName(cuts.select("a", "b")).distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (id, set: sorted 64-bit hashes as bytes) reach ``percent``."""
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+#: Pairs and ids up to so many are sent to every executor; beyond, texts are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, whose sets reach ``percent``; sets are made of rows (key, text) by ``make``.
+
+    Each text's set is made where the text is read, once per side, and only that of b is shuffled with its pair.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                keep_columns = [c for c in part.schema.names if c != "text"]
+                sets = pa.array([make(v.as_py()).tobytes() for v in part.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep_columns), sets], [*keep_columns, "set"])
+
+    later = rows.join(_sent(pairs.select(F.col("b").alias("key"), "a")), "key").mapInArrow(made, "key bigint, a bigint, set binary").select(F.col("key").alias("b"), "a", F.col("set").alias("y"))
+    firsts = _sent(keep(pairs.select(F.col("a").alias("key")).distinct()))
+    first = rows.join(firsts, "key", "left_semi").select("key", "text").mapInArrow(made, "key bigint, set binary").select(F.col("key").alias("a"), F.col("set").alias("x"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,40 +144,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             chosen = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(chosen) for c in ("a", "b")], ["a", "b"])
 
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return later.join(first, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def linked_components(candidates: DataFrame, sets: DataFrame, percent: int, at_once: int = 4) -> DataFrame:
+def linked_components(candidates: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], percent: int) -> DataFrame:
     """(node, component) of the links that ``confirmed`` finds among ``candidates`` (a written table of distinct pairs).
 
-    Confirms a few pairs per document first; pairs whose ends these have linked already need no confirmation, since only
-    components are asked for. All others are confirmed in later rounds, until none is left.
+    First each document is held against its smallest candidate. Pairs whose ends are linked by then need no confirmation,
+    since only components are asked for; all others are confirmed in a second round.
     """
-    links, comp, left = None, None, candidates
-    spark = candidates.sparkSession
-    while True:
-        total = left.count()
-        if not total:
-            break
-        nodes = left.select(F.col("a").alias("x")).unionByName(left.select(F.col("b").alias("x"))).distinct().count()
-        now = left
-        if total > at_once * nodes:
-            lowest = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            highest = left.groupBy("a").agg(F.max("b").alias("b")).select("a", "b")
-            now = keep(lowest.unionByName(highest).distinct())
-        found = keep(confirmed(now, sets, percent))
-        links = found if links is None else keep(links.unionByName(found))
-        comp = keep(components(links))
-        if now is left:
-            break
-        rest = left.join(now, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            rest = rest.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        left = keep(rest)
-    if comp is None:
-        comp = spark.createDataFrame([], "node bigint, component bigint")
-    return comp
-
-
-__all__ = ["LEVELS", "confirmed", "forest_pairs", "forget", "linked_components"]
+    first = keep(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = keep(confirmed(first, rows, make, percent).distinct())
+    comp = keep(components(links))
+    rest = candidates.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    rest = keep(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    if rest.isEmpty():
+        return comp
+    more = keep(confirmed(rest, rows, make, percent).distinct())
+    return keep(components(links.unionByName(more)))

@@ -46,19 +46,6 @@ def signatures(rows: DataFrame, width: int, trees: int, seed: int = 8) -> DataFr
     return rows.mapInArrow(run, "key bigint, n bigint, d1 bigint, d2 bigint, paths array<bigint>")
 
 
-def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the rows (key, text) whose key is among ``ids`` (id): sorted hashes as bytes."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = rows.join(F.broadcast(ids) if few else ids, rows["key"] == ids["id"], "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([shingle_set(v.as_py(), width).tobytes() for v in part.column("text")], pa.binary())], ["id", "set"])
-
-    return wanted.mapInArrow(run, "id bigint, set binary")
-
-
 def near_duplicates(
     docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 24, depth: int = 5, window: int = 12, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -81,10 +68,7 @@ def near_duplicates(
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 4096))
     pairs = keep(forest_pairs(entries, depth, window, percent, parts))
     forget(entries)
-    ids = keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = keep(sets_of(rows, ids, width))
-    comp = keep(linked_components(pairs, sets, percent))
-    forget(sets, ids, pairs)
+    comp = linked_components(pairs, rows, lambda t: shingle_set(t, width), percent)
     by_class = comp.select(F.col("node").alias("rep"), "component")
     out = placed.select("key", "n", "rep").join(by_class, "rep", "left")
     found = F.coalesce("component", "rep", "key")
