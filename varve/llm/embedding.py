@@ -1,9 +1,11 @@
 """Near-duplicate vectors: product quantisation in coarse inverted lists, then exact cosine.
 
 The index (coarse centroids and residual codebooks) is fitted on a bounded sample; every vector is indexed. For a link at
-cosine t, unit vectors are within r = sqrt(2 - 2 t). A vector probes every list in which something within r can
-lie (the distance to the plane between two centroids bounds it), and a code is passed over only if its table-lookup
-distance exceeds r plus the vector's own quantisation error; so no link is lost, whatever the fit.
+cosine t, unit vectors are within r = sqrt(2 - 2 t). Two such vectors are in different lists only if the first is near the
+plane between the centroids; a vector probes the lists whose plane is within r * min(1, 4 / sqrt(d)). In up to 16
+dimensions that is every list it can link to; beyond, it leaves out what takes a difference that points at a centroid by
+over four standard deviations. A code is passed over only if its table-lookup distance exceeds r plus the vector's own
+quantisation error, which loses nothing. Of two lists the one with the smaller number asks, and a link counts for both ends.
 """
 
 from __future__ import annotations
@@ -56,11 +58,12 @@ class Index:
         return at, codes, np.sqrt(((rest - back) ** 2).sum(axis=1))
 
     def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> np.ndarray:
-        """(rows, lists) mask of the lists that can hold a vector within ``radius``."""
+        """(rows, lists) mask of the lists from a vector's own on that it probes for vectors within ``radius``."""
         d2 = ((x[:, None, :] - self.centroids[None]) ** 2).sum(axis=2) if x.size * len(self.centroids) < 2e7 else np.maximum(0, 1 + (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T)
         own = d2[np.arange(len(x)), at]
         between = np.sqrt(((self.centroids[at][:, None, :] - self.centroids[None]) ** 2).sum(axis=2))
-        return d2 - own[:, None] <= 2 * (radius + SLACK) * between + SLACK
+        reach = radius * min(1.0, 4 / np.sqrt(x.shape[1])) + SLACK
+        return (d2 - own[:, None] <= 2 * reach * between + SLACK) & (np.arange(len(self.centroids)) >= at[:, None])
 
     def table_distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """(queries, codes) distances by lookup in each query's tables for the list ``of``."""
@@ -148,18 +151,18 @@ def _linked(classes: DataFrame, index: Index, width: int, cosine: float, radius:
                 asks = np.concatenate((np.zeros(len(x), bool), np.ones(len(q), bool)))
                 take = lambda name: part.column(name).take(row)
                 yield pa.RecordBatch.from_arrays(
-                    [take("label"), take("rep"), take("copies"), pa.array(np.concatenate((at, to)), pa.int64()), pa.array(asks), vec.take(row), code.take(row), pa.array(err).take(row)],
-                    ["label", "rep", "copies", "list", "asks", "vec", "code", "err"],
+                    [take("label"), take("rep"), take("copies"), pa.array(np.concatenate((at, to)), pa.int64()), pa.array(np.concatenate((at, at[q])), pa.int64()), pa.array(asks), vec.take(row), code.take(row), pa.array(err).take(row)],
+                    ["label", "rep", "copies", "list", "own", "asks", "vec", "code", "err"],
                 )
 
-    spread = keep(classes.select("label", "rep", "copies", "vec").mapInArrow(place, f"label {label}, rep bigint, copies bigint, list bigint, asks boolean, vec binary, code binary, err double"))
+    spread = keep(classes.select("label", "rep", "copies", "vec").mapInArrow(place, f"label {label}, rep bigint, copies bigint, list bigint, own bigint, asks boolean, vec binary, code binary, err double"))
     sizes = spread.groupBy("label", "list").agg((F.ceil(F.count_if(~F.col("asks")) / BLOCK)).cast("int").alias("blocks"), (F.ceil(F.count_if("asks") / BLOCK)).cast("int").alias("ask_blocks")).where("blocks > 0 and ask_blocks > 0")
     dealt = spread.join(sizes, ["label", "list"])
     mine = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(n)).cast("int")
     other = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     held = dealt.where("not asks").withColumn("i", mine("blocks")).withColumn("j", F.explode(other("ask_blocks")))
     asked = dealt.where("asks").withColumn("j", mine("ask_blocks")).withColumn("i", F.explode(other("blocks")))
-    both = held.unionByName(asked).select("label", "list", "i", "j", "rep", "copies", "asks", "vec", "code", "err")
+    both = held.unionByName(asked).select("label", "list", "i", "j", "rep", "copies", "own", "asks", "vec", "code", "err")
 
     def compare(table: pa.Table) -> pa.Table:
         ix: Index = sent.value
@@ -168,7 +171,8 @@ def _linked(classes: DataFrame, index: Index, width: int, cosine: float, radius:
         h, q = np.flatnonzero(~asks), np.flatnonzero(asks)
         vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, width)
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
-        of, links, ea, eb = table.column("list")[0].as_py(), np.zeros(len(q), np.int64), [], []
+        of, links, ea, eb = table.column("list")[0].as_py(), np.zeros(len(rep), np.int64), [], []
+        cross = table.column("own").to_numpy() != of
         for s in range(0, len(q), 128):
             part = q[s : s + 128]
             near = ix.table_distances(vec[part], of, codes[h]) <= radius + err[h][None] + SLACK
@@ -176,7 +180,8 @@ def _linked(classes: DataFrame, index: Index, width: int, cosine: float, radius:
             if not len(some):
                 continue
             hit = near[:, some] & (vec[part] @ vec[h[some]].T >= cosine) & (rep[part][:, None] != rep[h[some]][None])
-            links[s : s + 128] = hit @ copies[h[some]]
+            links[part] += hit @ copies[h[some]]
+            links[h[some]] += hit.T @ (copies[part] * cross[part])
             i, j = np.nonzero(hit)
             if len(i):
                 a, b = np.unique(np.stack([part[i], h[some][j]]), axis=1)
@@ -188,7 +193,7 @@ def _linked(classes: DataFrame, index: Index, width: int, cosine: float, radius:
             a = b = np.empty(0, np.int64)
         linked = links > 0
         return pa.table({
-            "a": pa.array(np.concatenate((rep[q][linked], n_rep[a]))), "n": pa.array(np.concatenate((links[linked], np.zeros(len(a), np.int64)))),
+            "a": pa.array(np.concatenate((rep[linked], n_rep[a]))), "n": pa.array(np.concatenate((links[linked], np.zeros(len(a), np.int64)))),
             "b": pa.concat_arrays([pa.nulls(int(linked.sum()), pa.int64()), pa.array(n_rep[b], pa.int64())]),
         }).select(["a", "b", "n"])
 
