@@ -39,18 +39,37 @@ def special_strings(path: str) -> list[str]:
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level tokenizers write bytes as characters: printable Latin-1 as itself, the others from U+0100 on in order."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_alphabet()
+
+
 class Memo(dict):
-    """pre-token -> value(ids): a fixed first tier, then what this worker has met, up to ``bound`` entries."""
+    """pre-token -> value(ids): a fixed first tier, then what this worker has met.
+
+    The library's model encodes a pre-token by itself, without the steps around it. Two generations of up to ``bound``
+    entries are remembered: when one is full it becomes the older, and entries that are met again move to the younger.
+    """
 
     def __init__(self, path: str, value: Callable, first: dict | None = None, bound: int = 300_000):
-        super().__init__(first or {})
-        self.encode, self.value, self.first, self.bound = tokenizer(path).encode, value, first or {}, bound + len(first or {})
+        super().__init__()
+        self.encode, self.value, self.older, self.first, self.bound = tokenizer(path).model.tokenize, value, {}, first or {}, bound
 
     def __missing__(self, word: str):
+        out = self.older.get(word)
+        if out is None:
+            out = self.first.get(word)
+        if out is None:
+            out = self.value([t.id for t in self.encode(word.encode().decode("latin-1").translate(_BYTES))])
         if len(self) >= self.bound:
+            self.older = dict(self)
             self.clear()
-            self.update(self.first)
-        out = self[word] = self.value(self.encode(word, add_special_tokens=False).ids)
+        self[word] = out
         return out
 
 
