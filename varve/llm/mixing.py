@@ -29,14 +29,17 @@ _BINS = {"marks": (0.001, 0.004, 0.01, 0.02, 0.04, 0.08, 0.16), "capitals": (0.0
 _STATISTIC = "\u0001"
 
 
-def _features(words: Column, text: Column) -> Column:
-    """Distinct words, and for each statistic a word that tells its bin."""
-    size = F.greatest(F.octet_length(text), F.lit(1))
-    left = lambda pattern: F.octet_length(F.regexp_replace(text, pattern, "")) / size
-    unlike = F.array_distinct(words)
-    value = {"marks": left("[^#$%&*!|<>{}=~^]+"), "capitals": left("[^A-Z]+"), "distinct": F.size(unlike) / F.greatest(F.size(words), F.lit(1))}
-    told = [F.concat(F.lit(f"{_STATISTIC}{name}"), sum((F.when(value[name] >= e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string")) for name, edges in _BINS.items()]
-    return F.concat(unlike, F.array(*told))
+def _with_features(rows: DataFrame) -> DataFrame:
+    """Adds features to rows with words and whole: distinct words, and for each statistic a word that tells its bin.
+
+    Each statistic is a column before its bin is taken, or every edge of the bin would read the text again.
+    """
+    size = F.greatest(F.octet_length("whole"), F.lit(1))
+    left = lambda pattern: F.octet_length(F.regexp_replace("whole", pattern, "")) / size
+    rows = rows.withColumns({"unlike": F.array_distinct("words"), "s_marks": left("[^#$%&*!|<>{}=~^]+"), "s_capitals": left("[^A-Z]+")})
+    rows = rows.withColumn("s_distinct", F.size("unlike") / F.greatest(F.size("words"), F.lit(1)))
+    told = [F.concat(F.lit(f"{_STATISTIC}{name}"), sum((F.when(F.col(f"s_{name}") >= e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string")) for name, edges in _BINS.items()]
+    return rows.withColumn("features", F.concat("unlike", F.array(*told))).drop("unlike", *[f"s_{name}" for name in _BINS])
 
 
 def fit_domains(
@@ -51,8 +54,8 @@ def fit_domains(
     """
     rows = labelled.where(F.col(key).isNotNull() & F.col(domain).isin(*domains)).groupBy(F.col(key).alias("key")).agg(F.min(domain).alias("domain"))
     rows = rows.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(max_rows)
-    whole = F.coalesce(F.col(text), F.lit(""))
-    seen = keep(docs.select(F.col(key).alias("key"), _features(_words(text), whole).alias("words")).join(F.broadcast(rows), "key").select("domain", "words"))
+    known = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("whole")).join(F.broadcast(rows), "key")
+    seen = keep(_with_features(known.withColumn("words", _words("whole"))).select("domain", F.col("features").alias("words")))
     n = {r[0]: r[1] for r in seen.groupBy("domain").count().collect()}
     total = sum(n.values())
     if not total:
@@ -73,16 +76,14 @@ def fit_domains(
     return {"base": [math.log((n.get(d, 0) + 1) / (total + len(domains))) for d in domains], "words": words}
 
 
-def likelihoods(features: Column, model: dict) -> Column:
-    """Per domain its posterior over that of the likeliest."""
+def log_odds(features: Column, model: dict) -> Column:
+    """Per domain the log of its prior times that of each known word."""
     base = F.array(*[F.lit(float(b)) for b in model["base"]])
-    if model["words"]:
-        change = F.from_json(F.lit(json.dumps(model["words"])), "map<string, array<double>>")
-        present = F.array_intersect(features, F.array(*[F.lit(w) for w in model["words"]]))
-        odds = F.aggregate(present, base, lambda s, w: F.zip_with(s, F.element_at(change, w), lambda x, y: x + y))
-    else:
-        odds = base
-    return F.transform(odds, lambda x: F.exp(x - F.array_max(odds)))
+    if not model["words"]:
+        return base
+    change = F.from_json(F.lit(json.dumps(model["words"])), "map<string, array<double>>")
+    present = F.array_intersect(features, F.array(*[F.lit(w) for w in model["words"]]))
+    return F.aggregate(present, base, lambda s, w: F.zip_with(s, F.element_at(change, w), lambda x, y: x + y))
 
 
 def _share(raised: str) -> Column:
@@ -112,8 +113,11 @@ def mix(
     model = fit_domains(docs, labelled, names, key=key, text=text, domain=domain, **options)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), _words(text).alias("words"), whole.alias("whole"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)])
-    rows = rows.select("key", F.size("words").cast("bigint").alias("n"), likelihoods(_features(F.col("words"), F.col("whole")), model).alias("raised"), *[f"o{i}" for i in range(len(others))])
-    base = keep(rows.withColumn("p", _share("raised")).drop("raised"))
+    rows = _with_features(rows).select("key", F.size("words").cast("bigint").alias("n"), log_odds(F.col("features"), model).alias("odds"), *[f"o{i}" for i in range(len(others))])
+    # columns of their own: a lambda works out an expression that it holds anew for each element
+    rows = rows.withColumn("top", F.array_max("odds"))
+    rows = rows.withColumn("raised", F.transform("odds", lambda x: F.exp(x - F.col("top"))))
+    base = keep(rows.withColumn("p", _share("raised")).drop("raised", "odds", "top"))
     # at most C(STEPS + k - 1, k - 1) distinct posteriors, whatever the input
     atoms = keep(base.groupBy("p").agg(F.sum("n").alias("n")))
     part = [F.sum(F.col("n") * F.col("p")[i] / STEPS) for i in range(k)]
