@@ -175,6 +175,28 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None][0][1]
 
 
+def test_a_star_of_near_copies_is_one_component(spark):
+    base, rng = text_of(321, 104).split(), np.random.default_rng(14)
+    spokes = []
+    for c in range(600):
+        w = list(base)
+        for k in rng.choice(np.arange(4, 100), 2, replace=False):
+            w[k] = f"s{c}x{k}"
+        spokes.append((c, " ".join(w)))
+    items = [*spokes, (600, " ".join(base))]
+    sets = {i: set(neardup.shingle_set(t, 5).tolist()) for i, t in items}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = brute_components(sorted(sets), links)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, items)).collect()}
+    assert sum((600, c) in links or (c, 600) in links for c in range(600)) > 500 and got == want
+
+
+def test_common_counts_equal_sets():
+    rng = np.random.default_rng(15)
+    x = [np.unique(rng.integers(0, 9000, k).astype(np.uint64)) for k in (0, 1, 50, 3000, 8000)]
+    assert forest.common_counts(x, x[1:]).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in x[1:]] for a in x]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     assert [r.kept for r in neardup.near_duplicates(docs(spark, [(1, None), (2, None)])).collect()] == [True, True]

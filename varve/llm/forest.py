@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, jaccard_at_least, keep
+from .common import components, forget, jaccard_at_least, keep, local_forest
 
 #: A path is LEVELS bytes in a long, the first level uppermost.
 LEVELS = 8
@@ -58,8 +58,9 @@ def forest_pairs(rows: DataFrame, depth: int, window: int, percent: int, parts:
     region are paired with each other, which is all of most regions. Where a region is denser, depth adapts: sorted
     neighbours there share the most levels of all, and each further row is paired with its nearest neighbour, with the first
     row of the region and with the first that shares its whole path. So a region of any size gives pairs in proportion to
-    its rows, all of them connected, and every tree sorts it anew. The order is range-partitioned, also within a region and
-    within equal paths; the neighbours on both sides of a cut are paired in a second small pass.
+    its rows, all of them connected, and every tree sorts it anew; ``dense_links`` finds the links these pairs leave out. The
+    order is range-partitioned, also within a region and within equal paths; the neighbours on both sides of a cut are paired
+    in a second small pass.
     """
     keys = ["tree", "path", "id"]
     ordered = rows.select(*keys, "n").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
@@ -164,3 +165,102 @@ def linked_components(candidates: DataFrame, rows: DataFrame, make: Callable[[st
         return comp
     more = keep(confirmed(rest, rows, make, percent).distinct())
     return keep(components(links.unionByName(more)))
+
+
+#: Rows of a dense region that are compared in one task at a time, on either side, and shingles counted at a time.
+BLOCK, COLUMNS = 512, 4096
+#: Trees whose dense regions are searched together; components are brought up to date in between.
+ROUNDS = (2, 6)
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(len(x), len(y)) sizes of the intersections of sets without repeats."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    flat = np.concatenate([*x, *y]) if x or y else np.empty(0, np.uint64)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    place = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
+    # a shingle counts only where both sides have it
+    both = (np.bincount(place, row < len(x)) > 0) & (np.bincount(place, row >= len(x)) > 0) if len(flat) else np.empty(0, bool)
+    used = both[place]
+    place, row = (np.cumsum(both) - 1)[place[used]], row[used]
+    for lo in range(0, int(both.sum()), COLUMNS):
+        s, e = np.searchsorted(place, (lo, lo + COLUMNS))
+        has = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        has[row[s:e], place[s:e] - lo] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out.astype(np.int64)
+
+
+def dense_links(inside: DataFrame, comp: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], percent: int) -> DataFrame:
+    """(a, b) links that join, within components, all rows linked in a region of ``inside`` (tree, top, id) but not yet in ``comp``.
+
+    Where a region's rows are in more than one component, every pair of rows of different components is compared on the full
+    sets, blocks of BLOCK rows on either side at a time; pairs within the largest component are not dealt at all. Links,
+    not pairs, leave a task.
+    """
+    inside = inside.join(comp.withColumnRenamed("node", "id"), "id", "left").select("tree", "top", "id", F.coalesce("component", "id").alias("c"))
+    sizes = inside.groupBy("tree", "top", "c").agg(F.count("*").alias("m")).groupBy("tree", "top").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    mixed = keep(sizes.where("lo <> hi").select("tree", "top", F.col("most.c").alias("most"), blocks(F.col("most.m")).alias("big"), blocks(F.col("m") - F.col("most.m")).alias("rest")))
+    if mixed.isEmpty():
+        forget(mixed)
+        return comp.sparkSession.createDataFrame([], "a bigint, b bigint")
+    # blocks of the largest component come first, and are held against the blocks of the others only
+    dealt = inside.join(_sent(mixed), ["tree", "top"])
+    hashed = lambda m: F.pmod(F.xxhash64("id"), F.col(m)).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("c") == F.col("most"), hashed("big")).otherwise(F.col("big") + hashed("rest")))
+    last = F.col("big") + F.col("rest") - 1
+    right = F.transform(F.sequence(F.greatest("block", "big"), last), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(False).alias("second")))
+    left = F.when((F.col("block") >= F.col("big")) & (F.col("block") > 0), F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("second"))))
+    empty = F.array().cast("array<struct<i:int,j:int,second:boolean>>")
+    dealt = keep(dealt.select("tree", "top", "id", "c", F.explode(F.concat(right, F.coalesce(left, empty))).alias("p")).select("tree", "top", "id", "c", "p.*"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([make(v.as_py()).tobytes() for v in part.column("text")], pa.binary())], ["id", "set"])
+
+    ids = _sent(keep(dealt.select(F.col("id").alias("key")).distinct()))
+    sets = keep(rows.join(ids, "key", "left_semi").select("key", "text").mapInArrow(made, "id bigint, set binary").dropDuplicates(["id"]))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, c = (table.column(k).to_numpy() for k in ("id", "c"))
+        second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
+        x = [np.frombuffer(v.as_buffer(), np.uint64) for chunk in table.column("set").chunks for v in chunk]
+        n = np.array([len(v) for v in x])
+        p = np.flatnonzero(~second)
+        q = np.flatnonzero(second) if second.any() else p
+        ea, eb = [], []
+        for s in range(0, len(p), BLOCK):
+            for t in range(0, len(q), BLOCK):
+                i, j = p[s : s + BLOCK], q[t : t + BLOCK]
+                if not (c[i][:, None] != c[j][None]).any():
+                    continue
+                both = common_counts([x[k] for k in i], [x[k] for k in j])
+                hit = (c[i][:, None] != c[j][None]) & (100 * both >= percent * (n[i][:, None] + n[j][None] - both)) & (both > 0)
+                u, v = np.nonzero(hit)
+                ea.append(i[u]), eb.append(j[v])
+        a, b = local_forest(np.concatenate(ea), np.concatenate(eb), len(ids)) if ea else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    links = keep(dealt.join(sets, "id").select("tree", "top", "i", "j", "id", "c", "second", "set").groupBy("tree", "top", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct())
+    forget(mixed, dealt, sets)
+    return links
+
+
+def forest_components(entries: DataFrame, comp: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], depth: int, window: int, percent: int, trees: int) -> DataFrame:
+    """``comp`` (node, component), joined further by the links within the dense regions of ``entries``, a few trees at a time.
+
+    A region is dense if it has more rows than ``forest_pairs`` pairs with each other.
+    """
+    at = entries.withColumn("top", F.shiftright("path", 64 - 8 * depth) if depth < LEVELS else F.col("path")).select("tree", "top", "id")
+    dense = keep(at.groupBy("tree", "top").agg(F.count("*").alias("m")).where(F.col("m") > window + 1).select("tree", "top"))
+    inside = keep(at.join(_sent(dense), ["tree", "top"]))
+    for lo, hi in zip((0, *ROUNDS), (*ROUNDS, trees)):
+        links = dense_links(inside.where((F.col("tree") >= lo) & (F.col("tree") < hi)), comp, rows, make, percent)
+        if not links.isEmpty():
+            comp = keep(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+    forget(dense, inside)
+    return comp

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_words, forget, keep, minhash, permutations, shingles, word_ids
-from .forest import LEVELS, forest_pairs, linked_components
+from .forest import LEVELS, forest_components, forest_pairs, linked_components
 
 #: Ids up to so many are sent to every executor; beyond, the text is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -54,7 +54,8 @@ def near_duplicates(
     Words: ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. Two documents link if the Jaccard similarity of their sets of
     ``width``-word shingles is at least ``percent`` / 100; shorter texts are one shingle. Null and empty texts link with
     nothing. Documents with equal sets form a class, and one of each class goes through the forest. Every link is confirmed on
-    the full sets. A pair at similarity s shares a region with probability 1 - (1 - s**depth)**trees, .9999 at .8.
+    the full sets, in regions of any size. A pair at similarity s shares a region with probability 1 - (1 - s**depth)**trees,
+    .9999 at .8.
     Repeated rows each keep a row; rows that share a key are one document. A row with a null key has a null
     component and is kept.
     """
@@ -67,8 +68,9 @@ def near_duplicates(
     entries = keep(reps.select("n", F.col("key").alias("id"), F.posexplode("paths").alias("tree", "path")))
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 4096))
     pairs = keep(forest_pairs(entries, depth, window, percent, parts))
-    forget(entries)
     comp = linked_components(pairs, rows, lambda t: shingle_set(t, width), percent)
+    comp = forest_components(entries, comp, rows, lambda t: shingle_set(t, width), depth, window, percent, trees)
+    forget(entries)
     by_class = comp.select(F.col("node").alias("rep"), "component")
     out = placed.select("key", "n", "rep").join(by_class, "rep", "left")
     found = F.coalesce("component", "rep", "key")
