@@ -310,6 +310,19 @@ def test_index_recall(d):
     assert (table <= radius + err + 1e-6)[near].all() and (found[near].all() if d <= 16 else found[near].mean() > 0.995)
 
 
+@pytest.mark.parametrize("directions", [2, 4, 8])
+def test_probes_lose_no_link_of_a_flat_cluster(directions):
+    rng = np.random.default_rng(16)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    span = rng.normal(size=(directions, 64)) / 8
+    x = unit(2 * unit(rng.normal(size=(1, 64))) + rng.normal(size=(1500, directions)) @ span * 0.5 / np.sqrt(directions))
+    ix, radius = embedding.fit(x, 40, 16, 32), np.sqrt(2 - 2 * 0.98)
+    at = ix.encode(x)[0]
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    to = ix.probes(x, at, radius)
+    assert (at[a] != at[b]).sum() > 100 and np.where(at[a] <= at[b], to[a, at[b]], to[b, at[a]]).all()
+
+
 def test_mixing(spark):
     bad = lambda s: " ".join(w + "***" for w in text_of(s, 50).split())
     items = [(i, bad(i) if i % 4 == 0 else text_of(i, 60)) for i in range(600)]

@@ -1,10 +1,9 @@
 """Near-duplicate vectors: product quantisation in coarse inverted lists, then exact cosine.
 
 The index (coarse centroids and residual codebooks) is fitted on a bounded sample; every vector is indexed. For a link at
-cosine t, unit vectors are within r = sqrt(2 - 2 t). Two such vectors are in different lists only if the first is near the
-plane between the centroids; a vector probes the lists whose plane is within r * min(1, 4 / sqrt(d)). In up to 16
-dimensions that is every list it can link to; beyond, it leaves out what takes a difference that points at a centroid by
-over four standard deviations. A code is passed over only if its table-lookup distance exceeds r plus the vector's own
+cosine t, unit vectors are within r = sqrt(2 - 2 t). Two such vectors are in different lists only if the first is within r
+of the plane between the centroids, so a vector probes every list whose plane is that near, which is every list it can
+link to. A code is passed over only if its table-lookup distance exceeds r plus the vector's own
 quantisation error, which loses nothing. Of two lists the one with the smaller number asks, and a link counts for both ends.
 """
 
@@ -62,7 +61,7 @@ class Index:
         d2 = ((x[:, None, :] - self.centroids[None]) ** 2).sum(axis=2) if x.size * len(self.centroids) < 2e7 else np.maximum(0, 1 + (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T)
         own = d2[np.arange(len(x)), at]
         between = np.sqrt(((self.centroids[at][:, None, :] - self.centroids[None]) ** 2).sum(axis=2))
-        reach = radius * min(1.0, 4 / np.sqrt(x.shape[1])) + SLACK
+        reach = radius + SLACK
         return (d2 - own[:, None] <= 2 * reach * between + SLACK) & (np.arange(len(self.centroids)) >= at[:, None])
 
     def table_distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
