@@ -239,6 +239,34 @@ def test_a_passage_with_one_changed_word(spark):
     assert by[2].n_removed >= 100 and by[3].n_removed == 0
 
 
+def brute_windows(hx, hy, window=46, percent=80):
+    sets = [set(hy[t : t + window].tolist()) for t in range(len(hy) - window + 1)]
+    mine = [set(hx[i : i + window].tolist()) for i in range(len(hx) - window + 1)]
+    return [i for i, a in enumerate(mine) if any(100 * len(a & b) >= percent * len(a | b) for b in sets)]
+
+
+def test_a_paragraph_of_scattered_lines_is_no_repeat(spark):
+    one, two = text_of(70, 25), text_of(71, 25)
+    items = [(1, " ".join([text_of(72, 30), one, text_of(73, 80), two, text_of(74, 30)])), (2, f"{one} {two}")]
+    got = {r.doc_id: r for r in substring.deduplicate_passages(docs(spark, items)).collect()}
+    assert got[2].n_removed == 0 and got[2].cluster_id == 2
+    words = [common.word_ids(common.ascii_words(t)) for _, t in items]
+    assert substring.shared_spans(words[1], words[0], 80) == [] and substring.shared_spans(words[0], words[0], 80) == [(0, 190)]
+
+
+def test_repeated_windows_equal_brute_force():
+    rng = np.random.default_rng(17)
+    for trial in range(60):
+        w = rng.integers(1, (10**6, 40, 2)[trial % 3], 160).astype(np.uint64)
+        edited = list(w)
+        for k in rng.integers(0, 150, trial % 6).tolist():
+            edited[k : k + int(rng.integers(0, 3))] = [10**7 + k] * int(rng.integers(0, 3))
+        y = np.concatenate((edited[80:], edited[:80])) if trial % 4 == 1 else np.array(edited)
+        y = np.concatenate((y[:90], y[30:])) if trial % 5 == 2 else y
+        hx, hy = (common.shingles(v.astype(np.uint64), 5) for v in (w, y))
+        assert substring.repeated_windows(hx, hy, 46, 80).tolist() == brute_windows(hx, hy)
+
+
 def test_least_positions_equal_a_plain_scan():
     h = np.random.default_rng(8).integers(0, 2**63, 500, dtype=np.uint64)
     want = sorted({int(i + np.argmin(h[i : i + 46])) for i in range(len(h) - 45)})

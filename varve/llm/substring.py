@@ -60,21 +60,78 @@ def bands(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at] + run_hashes(ids, at, HALF)), mix(h[at] ^ run_hashes(ids, at + WIDTH - HALF, HALF))
 
 
-def shared_spans(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
+def repeats_near(h: np.ndarray, window: int) -> np.ndarray:
+    """Mask of the windows of ``h`` that hold some hash twice."""
+    order = np.argsort(h, kind="stable")
+    same = (h[order][1:] == h[order][:-1]) & (np.diff(order) < window)
+    # the later of two equal hashes spoils the windows that also hold the earlier one
+    first, second = order[:-1][same], order[1:][same]
+    at = np.zeros(len(h) + 1, np.int64)
+    np.add.at(at, np.maximum(0, second - window + 1), 1)
+    np.add.at(at, first + 1, -1)
+    return np.cumsum(at[:-1])[: len(h) - window + 1] > 0
+
+
+def repeated_windows(hx: np.ndarray, hy: np.ndarray, window: int, percent: int) -> np.ndarray:
+    """Starts of the windows of ``hx`` whose set reaches Jaccard similarity ``percent`` / 100 with that of some window of ``hy``."""
+    hit = np.isin(hx, hy)
+    total = np.concatenate(([0], np.cumsum(hit)))
+    total = total[window:] - total[:-window]
+    least = -(-2 * window * percent // (100 + percent))
+    spoilt, spoilt_y = repeats_near(hx, window), bool(repeats_near(hy, window).any())
+    able = total >= (-(-window * percent // 100) if spoilt_y else least)
+    starts = np.flatnonzero(able | (spoilt & (total > 0)))
+    if not len(starts):
+        return starts
+    order = np.argsort(hy, kind="stable")
+    rank = np.minimum(np.searchsorted(hy[order], hx), len(hy) - 1)
+    place = np.where(hit, order[rank], 10**9 + 1000 * np.arange(len(hx)))
+    good = np.zeros(len(starts), bool)
+    views = np.lib.stride_tricks.sliding_window_view(place, window)
+    for lo in range(0, len(starts), 2048):
+        v = np.sort(views[starts[lo : lo + 2048]], axis=1)
+        # ``least`` distinct hashes of the window lie within one window of hy
+        good[lo : lo + 2048] = ((v[:, least - 1 :] - v[:, : window - least + 1]) < window).any(axis=1)
+    good &= ~spoilt[starts]
+    often = np.zeros(len(hx), bool)
+    often[hit] = hy[order][np.minimum(rank[hit] + 1, len(hy) - 1)] == hx[hit]
+    often &= rank + 1 < len(hy)
+    doubt = np.concatenate(([0], np.cumsum(often)))
+    doubt = (doubt[window:] - doubt[:-window])[starts] > 0
+    for k in np.flatnonzero(~good & (doubt | spoilt[starts] | spoilt_y)).tolist():
+        good[k] = _reaches(hx[starts[k] : starts[k] + window], hy, window, percent)
+    return starts[good]
+
+
+def _reaches(part: np.ndarray, hy: np.ndarray, window: int, percent: int) -> bool:
+    own = np.unique(part)
+    found = np.isin(hy, own)
+    total = np.concatenate(([0], np.cumsum(found)))
+    total = total[window:] - total[:-window]
+    for t in np.argsort(-total, kind="stable").tolist():
+        if 100 * total[t] < percent * len(own):
+            return False
+        other = hy[t : t + window]
+        common, size = len(np.unique(other[found[t : t + window]])), len(np.unique(other))
+        if 100 * common >= percent * (len(own) + size - common):
+            return True
+    return False
+
+
+def shared_spans(x: np.ndarray, y: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Word spans (start, end) of x made of all its SPAN-word paragraphs that repeat in y.
 
-    A paragraph of x repeats if at least ``least`` of its shingles occur in y: at Jaccard similarity .8 of two paragraphs
-    of 46 shingles each they share 41. Ends are trimmed to shared shingles.
+    A paragraph of x repeats if its set of shingles reaches Jaccard similarity ``percent`` / 100 with that of one
+    SPAN-word paragraph of y. Ends are trimmed to shared shingles.
     """
-    hx, hy = shingles(x, WIDTH), shingles(y, WIDTH)
     window = SPAN - WIDTH + 1
     if len(x) < SPAN or len(y) < SPAN:
         return []
-    hit = np.isin(hx, hy)
-    total = np.concatenate(([0], np.cumsum(hit)))
-    good = np.flatnonzero(total[window:] - total[:-window] >= least)
+    hx, hy = shingles(x, WIDTH), shingles(y, WIDTH)
+    good = repeated_windows(hx, hy, window, percent)
     if not len(good):
         return []
+    hit = np.isin(hx, hy)
     cover = np.zeros(len(hx) + 1, np.int64)
     np.add.at(cover, good, 1)
     np.add.at(cover, good + window, -1)
@@ -142,8 +199,6 @@ def words_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b, spans) for pairs a < b: word spans of b that repeat in a, of rows (key, text)."""
-    window = SPAN - WIDTH + 1
-    least = -(-2 * window * percent // (100 + percent))
     entries = keep(band_rows(rows))
     parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 4096))
     pairs = keep(forest_pairs(entries, LEVELS, 1, 0, parts))
@@ -156,7 +211,7 @@ def repeated_spans(rows: DataFrame, percent: int = 80) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                spans = [shared_spans(np.frombuffer(y.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), least) for x, y in zip(part.column("x"), part.column("y"))]
+                spans = [shared_spans(np.frombuffer(y.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), percent) for x, y in zip(part.column("x"), part.column("y"))]
                 some = pa.array([bool(s) for s in spans], pa.bool_())
                 flat = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans if x], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).filter(some) for c in ("a", "b")), flat], ["a", "b", "spans"])
