@@ -239,6 +239,19 @@ def test_a_passage_with_one_changed_word(spark):
     assert by[2].n_removed >= 100 and by[3].n_removed == 0
 
 
+def test_near_copies_of_a_paragraph_are_found_wherever_they_differ(spark):
+    items = []
+    for k in range(150):
+        w = text_of(2000 + k, 50).split()
+        at = k % 50
+        edited = (w[:at] + ["other"] + w[at + 1 :], w[:at] + ["more"] + w[at:], w[at:] + w[:at])[k // 50]
+        items += [(2 * k, f"{text_of(3000 + k, 20)} {' '.join(w)}"), (2 * k + 1, f"{' '.join(edited)} {text_of(4000 + k, 20)}")]
+    sets = {i: common.shingles(common.word_ids(common.ascii_words(t)), 5) for i, t in items}
+    want = {2 * k + 1 for k in range(150) if brute_windows(sets[2 * k + 1], sets[2 * k])}
+    by = {r.doc_id: r for r in substring.deduplicate_passages(docs(spark, items)).collect()}
+    assert len(want) > 140 and {i for i, r in by.items() if r.n_removed} == want == {i for i, r in by.items() if r.cluster_id != i}
+
+
 def brute_windows(hx, hy, window=46, percent=80):
     sets = [set(hy[t : t + window].tolist()) for t in range(len(hy) - window + 1)]
     mine = [set(hx[i : i + window].tolist()) for i in range(len(hx) - window + 1)]

@@ -5,6 +5,11 @@ paragraph is found too. Its MinHash is its least shingle; consecutive paragraphs
 in SPAN / 2 of them to band. The two bands of a paragraph are (least shingle, the HALF words after its start) and (least
 shingle, the HALF words before its end): a passage of SPAN words, or one with a single changed word beyond one of these
 halves, has a band in common with its copies.
+
+Changes elsewhere are left to a third band. Two paragraphs of 46 shingles at similarity .8 differ in five shingles at
+most, which is one changed, added or missing word or a cut, so apart from paragraphs that repeat their own words they share
+a run of SHARED = 25 words. Its least RUN-word shingle is the least of SHARED - RUN + 1 in a row in either document, and a
+document bands all such: one in seven words.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from .forest import LEVELS, forest_pairs
 from .neardup import BROADCAST_IDS
 
 SPAN, WIDTH, HALF = 50, 5, 25
+SHARED, RUN = 25, 13
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -60,6 +66,14 @@ def bands(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at] + run_hashes(ids, at, HALF)), mix(h[at] ^ run_hashes(ids, at + WIDTH - HALF, HALF))
 
 
+def run_keys(ids: np.ndarray) -> np.ndarray:
+    """The key of each least RUN-word shingle of some SHARED words in a row; none for documents of fewer than SPAN words."""
+    if len(ids) < SPAN:
+        return np.empty(0, np.uint64)
+    h = shingles(ids, RUN)
+    return np.unique(h[least_positions(h, SHARED - RUN + 1)])
+
+
 def repeats_near(h: np.ndarray, window: int) -> np.ndarray:
     """Mask of the windows of ``h`` that hold some hash twice."""
     order = np.argsort(h, kind="stable")
@@ -167,19 +181,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def band_rows(rows: DataFrame) -> DataFrame:
-    """(tree, path, id, n) of rows (key, text): two bands of each least shingle."""
+    """(tree, path, id, n) of rows (key, text): two bands of each least shingle, and the keys of the least runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, after, before = [], [], []
+            keys, tree, path = [], [], []
             for key, value in zip(batch.column("key").to_pylist(), batch.column("text")):
-                a, b = bands(word_ids(ascii_words(value.as_py())))
-                keys.append(np.full(len(a), key, np.int64)), after.append(a), before.append(b)
+                ids = word_ids(ascii_words(value.as_py()))
+                for t, found in enumerate((*bands(ids), run_keys(ids))):
+                    keys.append(np.full(len(found), key, np.int64)), tree.append(np.full(len(found), t)), path.append(found)
             if keys:
-                k, a, b = np.concatenate(keys), np.concatenate(after), np.concatenate(before)
-                tree = np.repeat(np.array([0, 1]), len(k))
-                path = np.concatenate((a, b)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(path), pa.array(np.tile(k, 2)), pa.array(np.ones(len(tree), np.int64))], ["tree", "path", "id", "n"])
+                tree = np.concatenate(tree)
+                path = np.concatenate(path).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(path), pa.array(np.concatenate(keys)), pa.array(np.ones(len(tree), np.int64))], ["tree", "path", "id", "n"])
 
     return rows.where("key is not null").mapInArrow(run, "tree bigint, path bigint, id bigint, n bigint")
 
