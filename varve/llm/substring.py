@@ -107,29 +107,57 @@ def repeated_windows(hx: np.ndarray, hy: np.ndarray, window: int, percent: int)
         # ``least`` distinct hashes of the window lie within one window of hy
         good[lo : lo + 2048] = ((v[:, least - 1 :] - v[:, : window - least + 1]) < window).any(axis=1)
     good &= ~spoilt[starts]
+    # where hashes occur more than once in hy, windows on one of the commonest diagonals are decided together
+    shift, often = np.unique(place[hit] - np.flatnonzero(hit), return_counts=True)
+    for d in shift[np.argsort(-often)[:16]].tolist():
+        lo, hi = max(0, -d), min(len(hx), len(hy) - d)
+        same = np.zeros(len(hx), bool)
+        same[lo:hi] = hx[lo:hi] == hy[lo + d : hi + d]
+        run = np.concatenate(([0], np.cumsum(same)))
+        run = (run[window:] - run[:-window])[starts]
+        good |= (run == window) | (~spoilt[starts] & (run >= least))
     often = np.zeros(len(hx), bool)
     often[hit] = hy[order][np.minimum(rank[hit] + 1, len(hy) - 1)] == hx[hit]
     often &= rank + 1 < len(hy)
     doubt = np.concatenate(([0], np.cumsum(often)))
     doubt = (doubt[window:] - doubt[:-window])[starts] > 0
-    for k in np.flatnonzero(~good & (doubt | spoilt[starts] | spoilt_y)).tolist():
-        good[k] = _reaches(hx[starts[k] : starts[k] + window], hy, window, percent)
+    unsure = np.flatnonzero(~good & (doubt | spoilt[starts] | spoilt_y))
+    if len(unsure):
+        good[unsure] = _reaches(hx, hy, starts[unsure], window, percent)
     return starts[good]
 
 
-def _reaches(part: np.ndarray, hy: np.ndarray, window: int, percent: int) -> bool:
-    own = np.unique(part)
-    found = np.isin(hy, own)
-    total = np.concatenate(([0], np.cumsum(found)))
-    total = total[window:] - total[:-window]
-    for t in np.argsort(-total, kind="stable").tolist():
-        if 100 * total[t] < percent * len(own):
-            return False
-        other = hy[t : t + window]
-        common, size = len(np.unique(other[found[t : t + window]])), len(np.unique(other))
-        if 100 * common >= percent * (len(own) + size - common):
-            return True
-    return False
+def _distinct(labels: np.ndarray, window: int) -> np.ndarray:
+    v = np.sort(np.lib.stride_tricks.sliding_window_view(labels, window), axis=1)
+    return 1 + (v[:, 1:] != v[:, :-1]).sum(axis=1)
+
+
+def _reaches(hx: np.ndarray, hy: np.ndarray, starts: np.ndarray, window: int, percent: int) -> np.ndarray:
+    """Whether each window of ``hx`` reaches ``percent`` with some window of ``hy``, by all that share enough hashes."""
+    names, labels = np.unique(np.concatenate((hx, hy)), return_inverse=True)
+    lx, ly = labels[: len(hx)], labels[len(hx) :]
+    size, mark = _distinct(ly, window), np.zeros(len(names), bool)
+    out, last = np.zeros(len(starts), bool), -1
+    for k, s in enumerate(starts.tolist()):
+        part = lx[s : s + window]
+        mark[part] = True
+        own = int(np.count_nonzero(np.diff(np.sort(part)))) + 1
+
+        def enough(t: int) -> bool:
+            other = ly[t : t + window]
+            common = len(set(other[mark[other]].tolist()))
+            return 100 * common >= percent * (own + int(size[t]) - common)
+
+        if 0 <= last < len(size) - 1 and enough(last + 1):
+            out[k], last = True, last + 1
+        else:
+            total = np.cumsum(mark[ly])
+            total = total[window - 1 :] - np.concatenate(([0], total[:-window]))
+            at = np.flatnonzero((100 + percent) * np.minimum(total, own) >= percent * (own + size))
+            last = next((t for t in at[np.argsort(-total[at], kind="stable")].tolist() if enough(t)), -1)
+            out[k] = last >= 0
+        mark[part] = False
+    return out
 
 
 def shared_spans(x: np.ndarray, y: np.ndarray, percent: int) -> list[tuple[int, int]]:
