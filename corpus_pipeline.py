@@ -36,11 +36,18 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier document has; n_chars counts the text that is left."""
-    done = substring.deduplicate_passages(docs, columns=docs.columns).withColumnRenamed("clean", "text")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    done = substring.deduplicate_passages(docs, columns=others)
+
+    def column(name: str):
+        if name in ("doc_id", "text"):
+            return F.col("doc_id" if name == "doc_id" else "clean").cast(docs.schema[name].dataType).alias(name)
+        own = F.col("others").getField(name)
+        if name == "n_chars":
+            own = F.when(F.col("n_removed") > 0, F.char_length("clean").cast(docs.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return done.select(*[column(c) for c in docs.columns])
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

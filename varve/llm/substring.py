@@ -1,15 +1,20 @@
 """Repeated passages across documents: MinHash banding of sliding paragraphs, exact check, removal by components.
 
-A paragraph here is any run of ``SPAN`` words, wherever lines break, so a passage set into the middle of another
-paragraph is found too. Its MinHash is its least shingle; consecutive paragraphs mostly share it, which leaves about one
-in SPAN / 2 of them to band. The two bands of a paragraph are (least shingle, the HALF words after its start) and (least
-shingle, the HALF words before its end): a passage of SPAN words, or one with a single changed word beyond one of these
-halves, has a band in common with its copies.
-
-Changes elsewhere are left to a third band. Two paragraphs of 46 shingles at similarity .8 differ in five shingles at
-most, which is one changed, added or missing word or a cut, so apart from paragraphs that repeat their own words they share
-a run of SHARED = 25 words. Its least RUN-word shingle is the least of SHARED - RUN + 1 in a row in either document, and a
-document bands all such: one in seven words.
+A paragraph is any run of SPAN words, wherever lines break, so a passage set into the middle of another paragraph is found
+too. Two paragraphs without inner repeats have 46 shingles of WIDTH words each, and reach similarity .8 (41 of 51) if they
+share a run of EXACT words, if one changed, added or missing word parts two shared runs, or if one is a rotation of the other.
+So the check is by edit distance: a paragraph repeats if a run of EXACT of its words, all of it but for one edit, or a rotation of
+it is in an earlier document.
+
+1. Bands. In either case the paragraphs share STRETCH words in a row. The MinHash of such a stretch is its least RUN-word shingle,
+   and a document bands the MinHash of each of its stretches, about one key for seven words. So each repeat collides
+   in some band. Documents of equal words are one document here.
+2. Paragraphs around colliding bands are joined on keys that hold all words but those an edit may take: runs of EXACT words for
+   exact repeats; for others half of a paragraph with the END words at its far end, or what all rotations have in common.
+3. Paragraphs that collide there with unlike ones are compared on the words between, by the hash of all but one of them.
+   Paragraphs that miss a word are looked for at every second word, which finds any passage of 50 shared words.
+
+All three are joins on equal keys, so costs grow with the rows, never with the pairs of a group, and no group is cut down.
 """
 
 from __future__ import annotations
@@ -19,16 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_words, components, forget, keep, mix, shingles, word_ids
-from .forest import LEVELS, forest_pairs
+from .exchange import FILTER_BITS, KEY_BITS, KeyFilter, exchange, key_filter, tasks_for
 from .neardup import BROADCAST_IDS
 
-SPAN, WIDTH, HALF = 50, 5, 25
-SHARED, RUN = 25, 13
+SPAN, WIDTH, EXACT = 50, 5, 45
+STRETCH, RUN = 25, 13
+HALF, END = 25, 5
+#: Words between the half and the far end. Where a word is missing there is one less; such paragraphs start at every SHORT-th word.
+BETWEEN, SHORT = SPAN - HALF - END, 2
+SHORTER, TURNED = 1, 2
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_KEYS, _PARAGRAPHS = ["<u8", "<i8", "<u4", "<u4"], ["<u8", "<i8", "<u4", "<u4", f"({BETWEEN},)<u4"]
+_ODD = np.random.default_rng(3).integers(1, 2**63, 2 * BETWEEN + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Mark of a key that unlike documents are known to share.
+_MANY = np.uint32(2**32 - 1)
+_WHOLE = 1 << 30
 
 
 def least_positions(h: np.ndarray, window: int) -> np.ndarray:
@@ -48,143 +63,235 @@ def least_positions(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at)
 
 
-def run_hashes(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` words from each start; the sequence is padded with zeros on both sides."""
-    padded = np.concatenate((np.zeros(length, np.uint64), ids, np.zeros(length, np.uint64)))
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(length):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + padded[starts + length + k]
-    return mix(out)
-
-
-def bands(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two band keys of each least shingle of a document; none for documents of fewer than SPAN words."""
-    if len(ids) < SPAN:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = shingles(ids, WIDTH)
-    at = least_positions(h, SPAN - WIDTH + 1)
-    return mix(h[at] + run_hashes(ids, at, HALF)), mix(h[at] ^ run_hashes(ids, at + WIDTH - HALF, HALF))
-
-
-def run_keys(ids: np.ndarray) -> np.ndarray:
-    """The key of each least RUN-word shingle of some SHARED words in a row; none for documents of fewer than SPAN words."""
-    if len(ids) < SPAN:
-        return np.empty(0, np.uint64)
-    h = shingles(ids, RUN)
-    return np.unique(h[least_positions(h, SHARED - RUN + 1)])
-
-
-def repeats_near(h: np.ndarray, window: int) -> np.ndarray:
-    """Mask of the windows of ``h`` that hold some hash twice."""
-    order = np.argsort(h, kind="stable")
-    same = (h[order][1:] == h[order][:-1]) & (np.diff(order) < window)
-    # the later of two equal hashes spoils the windows that also hold the earlier one
-    first, second = order[:-1][same], order[1:][same]
-    at = np.zeros(len(h) + 1, np.int64)
-    np.add.at(at, np.maximum(0, second - window + 1), 1)
-    np.add.at(at, first + 1, -1)
-    return np.cumsum(at[:-1])[: len(h) - window + 1] > 0
-
-
-def repeated_windows(hx: np.ndarray, hy: np.ndarray, window: int, percent: int) -> np.ndarray:
-    """Starts of the windows of ``hx`` whose set reaches Jaccard similarity ``percent`` / 100 with that of some window of ``hy``."""
-    hit = np.isin(hx, hy)
-    total = np.concatenate(([0], np.cumsum(hit)))
-    total = total[window:] - total[:-window]
-    least = -(-2 * window * percent // (100 + percent))
-    spoilt, spoilt_y = repeats_near(hx, window), bool(repeats_near(hy, window).any())
-    able = total >= (-(-window * percent // 100) if spoilt_y else least)
-    starts = np.flatnonzero(able | (spoilt & (total > 0)))
-    if not len(starts):
-        return starts
-    order = np.argsort(hy, kind="stable")
-    rank = np.minimum(np.searchsorted(hy[order], hx), len(hy) - 1)
-    place = np.where(hit, order[rank], 10**9 + 1000 * np.arange(len(hx)))
-    good = np.zeros(len(starts), bool)
-    views = np.lib.stride_tricks.sliding_window_view(place, window)
-    for lo in range(0, len(starts), 2048):
-        v = np.sort(views[starts[lo : lo + 2048]], axis=1)
-        # ``least`` distinct hashes of the window lie within one window of hy
-        good[lo : lo + 2048] = ((v[:, least - 1 :] - v[:, : window - least + 1]) < window).any(axis=1)
-    good &= ~spoilt[starts]
-    # where hashes occur more than once in hy, windows on one of the commonest diagonals are decided together
-    shift, often = np.unique(place[hit] - np.flatnonzero(hit), return_counts=True)
-    for d in shift[np.argsort(-often)[:16]].tolist():
-        lo, hi = max(0, -d), min(len(hx), len(hy) - d)
-        same = np.zeros(len(hx), bool)
-        same[lo:hi] = hx[lo:hi] == hy[lo + d : hi + d]
-        run = np.concatenate(([0], np.cumsum(same)))
-        run = (run[window:] - run[:-window])[starts]
-        good |= (run == window) | (~spoilt[starts] & (run >= least))
-    often = np.zeros(len(hx), bool)
-    often[hit] = hy[order][np.minimum(rank[hit] + 1, len(hy) - 1)] == hx[hit]
-    often &= rank + 1 < len(hy)
-    doubt = np.concatenate(([0], np.cumsum(often)))
-    doubt = (doubt[window:] - doubt[:-window])[starts] > 0
-    unsure = np.flatnonzero(~good & (doubt | spoilt[starts] | spoilt_y))
-    if len(unsure):
-        good[unsure] = _reaches(hx, hy, starts[unsure], window, percent)
-    return starts[good]
-
-
-def _distinct(labels: np.ndarray, window: int) -> np.ndarray:
-    v = np.sort(np.lib.stride_tricks.sliding_window_view(labels, window), axis=1)
-    return 1 + (v[:, 1:] != v[:, :-1]).sum(axis=1)
-
-
-def _reaches(hx: np.ndarray, hy: np.ndarray, starts: np.ndarray, window: int, percent: int) -> np.ndarray:
-    """Whether each window of ``hx`` reaches ``percent`` with some window of ``hy``, by all that share enough hashes."""
-    names, labels = np.unique(np.concatenate((hx, hy)), return_inverse=True)
-    lx, ly = labels[: len(hx)], labels[len(hx) :]
-    size, mark = _distinct(ly, window), np.zeros(len(names), bool)
-    out, last = np.zeros(len(starts), bool), -1
-    for k, s in enumerate(starts.tolist()):
-        part = lx[s : s + window]
-        mark[part] = True
-        own = int(np.count_nonzero(np.diff(np.sort(part)))) + 1
-
-        def enough(t: int) -> bool:
-            other = ly[t : t + window]
-            common = len(set(other[mark[other]].tolist()))
-            return 100 * common >= percent * (own + int(size[t]) - common)
-
-        if 0 <= last < len(size) - 1 and enough(last + 1):
-            out[k], last = True, last + 1
-        else:
-            total = np.cumsum(mark[ly])
-            total = total[window - 1 :] - np.concatenate(([0], total[:-window]))
-            at = np.flatnonzero((100 + percent) * np.minimum(total, own) >= percent * (own + size))
-            last = next((t for t in at[np.argsort(-total[at], kind="stable")].tolist() if enough(t)), -1)
-            out[k] = last >= 0
-        mark[part] = False
-    return out
+# ---------------------------------------------------------------- documents of a batch as one array of words
+
+
+class Rolling:
+    """Hashes of runs of words by differences of prefix sums, modulo 2**64."""
+
+    _power = _back = np.ones(1, np.uint64)
+
+    def __init__(self, words: np.ndarray):
+        n = len(words) + 1
+        if len(Rolling._power) < n:
+            base = 0x9E3779B97F4A7C15
+            for name, b in (("_power", base), ("_back", pow(base, -1, 2**64))):
+                steps = np.full(2 * n, b, np.uint64)
+                steps[0] = 1
+                setattr(Rolling, name, np.cumprod(steps))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * Rolling._power[: n - 1])))
+
+    def plain(self, at: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[at + length] - self.sums[at]) * Rolling._back[at]
+
+    def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
+        return mix(self.plain(at, length) + np.uint64(length))
+
+    def turned(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The same for a run and any rotation of it: the sum over its WIDTH-word shingles, with those across its end."""
+        if not len(at):
+            return np.empty(0, np.uint64)
+        each = self(np.arange(len(self.sums) - WIDTH), WIDTH)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
+        out = total[at + length - WIDTH + 1] - total[at]
+        for j in range(1, WIDTH):
+            out += mix(self.plain(at + length - j, j) + Rolling._power[j] * self.plain(at, WIDTH - j) + np.uint64(WIDTH))
+        return mix(out)
 
 
-def shared_spans(x: np.ndarray, y: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Word spans (start, end) of x made of all its SPAN-word paragraphs that repeat in y.
+def _digest(ids: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(ids.tobytes())
+    return d & (2**64 - 1), (d >> 64) % (2**32 - 1)
 
-    A paragraph of x repeats if its set of shingles reaches Jaccard similarity ``percent`` / 100 with that of one
-    SPAN-word paragraph of y. Ends are trimmed to shared shingles.
+
+class Batch:
+    """Documents of SPAN words at least: their words in one array, and where each starts."""
+
+    def __init__(self, keys: list, texts: list):
+        found = [(k, i) for k, t in zip(keys, texts) if k is not None for i in (word_ids(ascii_words(t)),) if len(i) >= SPAN]
+        self.ids = np.array([k for k, _ in found], np.int64)
+        self.digests = [_digest(i) for _, i in found]
+        self.tags = np.array([t for _, t in self.digests], np.uint32)
+        sizes = np.array([len(i) for _, i in found], np.int64)
+        self.start = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+        self.words = np.concatenate([i for _, i in found]) if found else np.empty(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(found)), sizes)
+
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, positions) of the bands of every document."""
+        h = shingles(self.words, RUN) if len(self.words) >= RUN else np.empty(0, np.uint64)
+        at = least_positions(h, STRETCH - RUN + 1)
+        at = at[at + RUN <= self.start[1:][self.doc[at]]] if len(at) else at
+        return h[at] if len(at) else np.empty(0, np.uint64), at
+
+    def starts(self, at: np.ndarray, span: int) -> np.ndarray:
+        """Starts of the runs of ``span`` words that hold a band at ``at``."""
+        if not len(at):
+            return at
+        doc = self.doc[at]
+        lo, hi = np.maximum(self.start[doc], at + RUN - span), np.minimum(at, self.start[doc + 1] - span) + 1
+        some = hi > lo
+        change = np.bincount(lo[some], minlength=len(self.words) + 1) - np.bincount(hi[some], minlength=len(self.words) + 1)
+        return np.flatnonzero(np.cumsum(change) > 0)
+
+
+def paragraphs(batch: Batch, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, start, content hash, first word between, kind) of the paragraphs that hold a band at ``at``.
+
+    Kinds are 0, SHORTER (a word is missing; the last bit of the content hash tells) and TURNED (the key is that of all rotations).
     """
-    window = SPAN - WIDTH + 1
-    if len(x) < SPAN or len(y) < SPAN:
-        return []
-    hx, hy = shingles(x, WIDTH), shingles(y, WIDTH)
-    good = repeated_windows(hx, hy, window, percent)
-    if not len(good):
-        return []
-    hit = np.isin(hx, hy)
-    cover = np.zeros(len(hx) + 1, np.int64)
-    np.add.at(cover, good, 1)
-    np.add.at(cover, good + window, -1)
-    inside = (np.cumsum(cover[:-1]) > 0) & hit
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(inside).tolist():
-        if out and i <= out[-1][1] + WIDTH:
-            out[-1] = (out[-1][0], i + WIDTH)
-        else:
-            out.append((i, i + WIDTH))
-    return [s for s in out if s[1] - s[0] >= SPAN - 2 * WIDTH]
+    roll, out = Rolling(batch.words), []
+    for less in (0, 1):
+        s = batch.starts(at, SPAN - less)
+        if less and len(s):
+            s = s[(s - batch.start[batch.doc[s]]) % SHORT == 0]
+        content = roll(s, SPAN - less) >> np.uint64(1) << np.uint64(1) | np.uint64(less)
+        for first, half, end in ((HALF, 0, SPAN - less - END), (END, END + BETWEEN - less, 0)):
+            h = mix(roll(s + half, HALF) * _ODD[0] + roll(s + end, END) * _ODD[1 if end else 2])
+            out.append((h, s, content, s + first, np.full(len(s), less)))
+        if not less:
+            out.append((roll.turned(s, SPAN), s, content, s + END, np.full(len(s), TURNED)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+# ---------------------------------------------------------------- groups
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, group of each row) of sorted keys."""
+    fresh = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+
+def _sorted(columns: list[np.ndarray], by: tuple[int, ...]) -> list[np.ndarray]:
+    order = np.lexsort(tuple(columns[k] for k in reversed(by)))
+    return [c[order] for c in columns]
+
+
+def _unlike(h: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, group, whether a group has unlike tags or the mark of them)."""
+    start, group = _groups(h)
+    least, most = (f.reduceat(tags, start) if len(start) else tags for f in (np.minimum, np.maximum))
+    return start, group, (least != most) | (most == _MANY)
+
+
+def _copies(columns):
+    """(id, first id) of rows with equal digests, as rows of results; and the rows that are first."""
+    h, ids, tag, _ = columns = _sorted(columns, (0, 2, 1))
+    fresh = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])))
+    first = ids[np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))] if len(h) else ids
+    later = ids > first
+    return [np.ones(int(later.sum()), np.int64), ids[later], first[later], tag[later]], [c[fresh] for c in columns]
+
+
+def _fold_bands(kind: int, columns: list[np.ndarray]):
+    if kind == 1:
+        known, rest = _copies(columns)
+        return known, _sorted(rest, (1,))
+    h, ids, tag, x = columns = _sorted(columns, (0, 1))
+    again = np.concatenate((np.zeros(min(1, len(h)), bool), (h[1:] == h[:-1]) & (ids[1:] == ids[:-1]) & (tag[1:] == tag[:-1])))
+    h, ids, tag, x = columns = [c[~again] for c in columns]
+    start, group, many = _unlike(h, tag)
+    flagged = many[group] if len(h) else np.empty(0, bool)
+    known = [np.zeros(int(flagged.sum()), np.int64), ids[flagged], h[flagged].view(np.int64), tag[flagged]]
+    first = [c[start].copy() for c in columns]
+    first[2][many] = _MANY
+    return known, _sorted(first, (1,))
+
+
+def _scan_bands(kind: int, columns: list[np.ndarray]):
+    if kind == 1:
+        return _copies(columns)[0]
+    h, ids, tag, _ = _sorted(columns, (0, 1))
+    _, group, many = _unlike(h, tag)
+    flagged = many[group] & (tag != _MANY) if len(h) else np.empty(0, bool)
+    return [np.zeros(int(flagged.sum()), np.int64), ids[flagged], h[flagged].view(np.int64), tag[flagged]]
+
+
+#: Result rows of the second exchange: EXACT words from ``s`` on that ``first`` has; or (``s`` negative) a key of unlike paragraphs.
+def _repeats(columns):
+    h, ids, tag, x = columns = _sorted(columns, (0, 1, 3))
+    start, group = _groups(h)
+    first = ids[start][group] if len(h) else ids
+    later = ids > first
+    s = x[later].astype(np.int64)
+    return [ids[later], tag[later], s, s + EXACT, first[later]], [c[~later] for c in columns]
+
+
+def _fold_runs(kind: int, columns: list[np.ndarray]):
+    if kind == 0:
+        known, rest = _repeats(columns)
+        return known, _sorted(rest, (1,))
+    columns = _sorted(columns, (0, 3, 1))
+    h, _, _, content = columns
+    fresh = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (content[1:] != content[:-1])))
+    return None, _sorted([c[fresh] for c in columns], (1,))
+
+
+def _scan_runs(kind: int, columns: list[np.ndarray]):
+    if kind == 0:
+        return _repeats(columns)[0]
+    h, ids, tag, content = _sorted(columns, (0, 3, 1))
+    start, group = _groups(h)
+    chosen = np.empty(0, bool)
+    if len(h):
+        short, none = content & 1, np.uint32(2**32 - 1)
+        least, most = np.minimum.reduceat(np.where(short, none, content), start), np.maximum.reduceat(np.where(short, 0, content), start)
+        unlike = (least != none) & ((least != most) | (np.maximum.reduceat(short, start) > 0))
+        chosen = (unlike & (np.maximum.reduceat(ids, start) != np.minimum.reduceat(ids, start)))[group]
+    h, ids, tag = h[chosen], ids[chosen], tag[chosen]
+    return [ids, tag, np.full(len(h), -1), np.zeros(len(h), np.int64), h.view(np.int64)]
+
+
+def _fold_between(kind: int, columns: list[np.ndarray]):
+    content = mix((columns[4] * _ODD[:BETWEEN]).sum(axis=1, dtype=np.uint64) + (columns[3] & 3))
+    order = np.lexsort((columns[1], content, columns[0]))
+    columns, content = [c[order] for c in columns], content[order]
+    h = columns[0]
+    fresh = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (content[1:] != content[:-1])))
+    return None, _sorted([c[fresh] for c in columns], (1,))
+
+
+def _least_by(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the least id among rows of equal key."""
+    order = np.lexsort((ids, keys))
+    start, group = _groups(keys[order])
+    out = np.empty_like(ids)
+    out[order] = ids[order][start][group]
+    return out
+
+
+def _scan_between(kind: int, columns: list[np.ndarray]):
+    """Paragraphs of one key whose words between differ by one changed, added or missing word from those of a smaller id,
+    or which are rotations of them."""
+    h, ids, tag, x, words = columns
+    short, turned, none = (x & 3) == SHORTER, (x & 3) == TURNED, np.iinfo(np.int64).max
+    first, full = np.full(len(h), none), np.flatnonzero((x & 3) == 0)
+    first[turned] = _least_by(h[turned], ids[turned])
+    w = words.astype(np.uint64)
+    whole = (w * _ODD[:BETWEEN]).sum(axis=1, dtype=np.uint64)
+    for i in range(BETWEEN):
+        first[full] = np.minimum(first[full], _least_by(mix(h[full] + (whole[full] - w[full, i] * _ODD[i]) * _ODD[BETWEEN + i]), ids[full]))
+    if short.any():
+        full = full[np.isin(h[full], h[short])]
+        w = w[full]
+        before = np.cumsum(w * _ODD[:BETWEEN], axis=1, dtype=np.uint64)
+        after = np.cumsum((w[:, 1:] * _ODD[: BETWEEN - 1])[:, ::-1], axis=1, dtype=np.uint64)[:, ::-1]
+        zero = np.zeros((len(full), 1), np.uint64)
+        less = np.concatenate((zero, before[:, :-1]), axis=1) + np.concatenate((after, zero), axis=1)
+        key = lambda h, total: mix(h + total * _ODD[2 * BETWEEN])
+        keys = np.concatenate((key(h[short], whole[short]), key(h[full][:, None], less).ravel()))
+        row = np.concatenate((np.flatnonzero(short), np.repeat(full, BETWEEN)))
+        for side in (short, ~short):
+            # rows of one side against the least id of the other
+            least = _least_by(keys, np.where(side[row], ids[row], none))
+            np.minimum.at(first, row[~side[row]], least[~side[row]])
+    hit = first < ids
+    s = (x[hit] >> 2).astype(np.int64)
+    return [ids[hit], tag[hit], s, s + SPAN - short[hit], first[hit]]
+
+
+# ---------------------------------------------------------------- spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -208,76 +315,112 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def band_rows(rows: DataFrame) -> DataFrame:
-    """(tree, path, id, n) of rows (key, text): two bands of each least shingle, and the keys of the least runs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, tree, path = [], [], []
-            for key, value in zip(batch.column("key").to_pylist(), batch.column("text")):
-                ids = word_ids(ascii_words(value.as_py()))
-                for t, found in enumerate((*bands(ids), run_keys(ids))):
-                    keys.append(np.full(len(found), key, np.int64)), tree.append(np.full(len(found), t)), path.append(found)
-            if keys:
-                tree = np.concatenate(tree)
-                path = np.concatenate(path).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(path), pa.array(np.concatenate(keys)), pa.array(np.ones(len(tree), np.int64))], ["tree", "path", "id", "n"])
-
-    return rows.where("key is not null").mapInArrow(run, "tree bigint, path bigint, id bigint, n bigint")
-
-
-def words_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, words) of the rows whose key is among ``ids``: 64-bit word hashes as bytes."""
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows that are not in ids (id, tag) by a column of both; the caller compares tags."""
     few = ids.count() <= BROADCAST_IDS
-    wanted = rows.join(F.broadcast(ids) if few else ids, rows["key"] == ids["id"], "left_semi")
+    gone = ids.groupBy(F.col("id").alias("gone")).agg(F.collect_set("tag").alias("tags"))
+    return rows.join(F.broadcast(gone) if few else gone, rows["key"] == F.col("gone"), "left").drop("gone")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([word_ids(ascii_words(v.as_py())).tobytes() for v in part.column("text")], pa.binary())], ["id", "words"])
 
-    return wanted.mapInArrow(run, "id bigint, words binary")
+def _marked(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, object]:
+    """Rows and a broadcast filter of keys (id, key); or, beyond FILTER_BITS, rows with their keys in a column and None."""
+    few = keys.select("key").distinct()
+    count = few.count()
+    if count * KEY_BITS <= FILTER_BITS:
+        return rows.withColumn("keys", F.lit(None).cast("array<bigint>")), rows.sparkSession.sparkContext.broadcast(key_filter(few, count))
+    lists = keys.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    return rows.join(lists, rows["key"] == lists["id"]).drop("id"), None
 
 
-def repeated_spans(rows: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b, spans) for pairs a < b: word spans of b that repeat in a, of rows (key, text)."""
-    entries = keep(band_rows(rows))
-    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 4096))
-    pairs = keep(forest_pairs(entries, LEVELS, 1, 0, parts))
-    forget(entries)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = keep(ids)
-    words = keep(words_of(rows, ids))
-    joined = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b").join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+def _has(found: KeyFilter | None, part: pa.RecordBatch, batch: Batch, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if found is not None:
+        return found.has(keys)
+    wanted = {k: set(v) for k, v in zip(part.column("key").to_pylist(), part.column("keys").to_pylist()) if v}
+    return np.fromiter((k in wanted.get(i, ()) for i, k in zip(batch.ids[batch.doc[at]].tolist(), keys.view(np.int64).tolist())), bool, len(keys))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                spans = [shared_spans(np.frombuffer(y.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), percent) for x, y in zip(part.column("x"), part.column("y"))]
-                some = pa.array([bool(s) for s in spans], pa.bool_())
-                flat = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans if x], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(some) for c in ("a", "b")), flat], ["a", "b", "spans"])
 
-    found = keep(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, spans array<struct<s:bigint,e:bigint>>"))
-    forget(words, ids, pairs)
-    return found
+def _documents(part: pa.RecordBatch) -> Batch:
+    """Documents of a batch without later copies."""
+    keys, texts = part.column("key").to_pylist(), part.column("text").to_pylist()
+    gone = part.column("tags").to_pylist() if "tags" in part.schema.names else [None] * len(keys)
+    some = [k for k, g in enumerate(gone) if not g or _digest(word_ids(ascii_words(texts[k])))[1] not in g]
+    return Batch([keys[k] for k in some], [texts[k] for k in some])
 
 
-def deduplicate_passages(docs: DataFrame, *, percent: int = 80, key: str = "doc_id", text: str = "text", columns: list[str] = ()) -> DataFrame:
-    """Per row: key, clean (the text without passages that an earlier document has), n_words, n_removed, spans, cluster_id, ``columns``.
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """(id, tag, s, e, first): words s to e of a document of rows (key, text) that the earlier document ``first`` has.
+
+    ``tag`` tells texts that share a key apart; a text that repeats as a whole has an end beyond its words.
+    """
+    rows = rows.where("key is not null")
+    parts = tasks_for(rows)
+
+    def bands(part: pa.RecordBatch):
+        batch = _documents(part)
+        h, at = batch.bands()
+        yield 0, [h, batch.ids[batch.doc[at]], batch.tags[batch.doc[at]], np.zeros(len(h), np.uint32)]
+        yield 1, [np.array([d for d, _ in batch.digests], np.uint64), batch.ids, batch.tags, np.zeros(len(batch.ids), np.uint32)]
+
+    banded = keep(exchange(rows, bands, _fold_bands, _scan_bands, _KEYS, "kind bigint, id bigint, key bigint, tag bigint", parts))
+    copies = banded.where("kind = 1").select("id", "tag", F.col("key").alias("first"))
+    first_rows = _without(rows, copies.select("id", "tag"))
+    near, sent = _marked(first_rows, banded.where("kind = 0").select("id", "key"))
+
+    def runs(part: pa.RecordBatch):
+        batch = _documents(part)
+        h, at = batch.bands()
+        at = at[_has(sent and sent.value, part, batch, at, h)]
+        if not len(at):
+            return
+        s = batch.starts(at, EXACT)
+        of = lambda s: (batch.ids[batch.doc[s]], batch.tags[batch.doc[s]])
+        yield 0, [Rolling(batch.words)(s, EXACT), *of(s), (s - batch.start[batch.doc[s]]).astype(np.uint32)]
+        h, s, content, _, _ = paragraphs(batch, at)
+        yield 1, [h, *of(s), content.astype(np.uint32)]
+
+    found = keep(exchange(near, runs, _fold_runs, _scan_runs, _KEYS, "id bigint, tag bigint, s bigint, e bigint, first bigint", parts))
+    both, chosen = _marked(first_rows, found.where("s < 0").select("id", F.col("first").alias("key")))
+
+    def between(part: pa.RecordBatch):
+        batch = _documents(part)
+        at = batch.bands()[1]
+        if sent:
+            at = at[sent.value.has(batch.bands()[0])]
+        if not len(at):
+            return
+        h, s, content, first, kind = paragraphs(batch, at)
+        some = np.flatnonzero(_has(chosen and chosen.value, part, batch, s, h))
+        if len(some):
+            h, s, content, first, kind = h[some], s[some], content[some], first[some], kind[some]
+            words = batch.words.astype(np.uint32)[first[:, None] + np.arange(BETWEEN)]
+            words[kind == SHORTER, BETWEEN - 1] = 0
+            words[kind == TURNED] = content[kind == TURNED].astype(np.uint32)[:, None]
+            x = (s - batch.start[batch.doc[s]]) * 4 + kind
+            yield 0, [h, batch.ids[batch.doc[s]], batch.tags[batch.doc[s]], x.astype(np.uint32), words]
+
+    edited = keep(exchange(both, between, _fold_between, _scan_between, _PARAGRAPHS, "id bigint, tag bigint, s bigint, e bigint, first bigint", parts))
+    whole = copies.select("id", "tag", F.lit(0).cast("bigint").alias("s"), F.lit(_WHOLE).cast("bigint").alias("e"), "first")
+    return found.where("s >= 0").unionByName(edited).unionByName(whole)
+
+
+def deduplicate_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", columns: list[str] = ()) -> DataFrame:
+    """Per row: key, clean (the text without passages that an earlier document has), n_words, n_removed, spans, cluster_id, others.
 
     Earlier means a smaller key; the smallest document of each chain of repeats keeps its passage, so a passage of a
     cluster (component of documents linked by repeats; its smallest key) always stays somewhere. Words are as for near
     duplicates, spans count words. Texts of fewer than SPAN words, empty ones and rows with a null key stay as they are; a null
-    text stays null. Rows that share a key are one document for the search, and each keeps its row. Repeats within one document stay.
+    text stays null. Rows that share a key are one document, whatever their texts, and each keeps its row. Repeats within one
+    document stay. Inner repeats of a paragraph count in order, as its other words do. ``others`` is a struct of ``columns`` under
+    their own names, so they clash with no column of the result; it is absent if none are asked for.
     """
-    others = [c for c in columns if c not in (key, text)]
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(others)])
-    found = repeated_spans(rows.select("key", "text"), percent)
-    spans = found.select("b", F.explode("spans").alias("x")).distinct().groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("spans"))
-    cluster = keep(components(found.select("a", "b"))).withColumnRenamed("node", "b")
-    spans = keep(cluster.join(spans, "b", "left").withColumnRenamed("b", "id"))
-    small = spans.count() <= BROADCAST_IDS // 8
+    others = [F.struct(*[F.col(c) for c in columns]).alias("others")] if columns else []
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *others)
+    found = keep(repeated_spans(rows.select("key", "text")))
+    cluster = keep(components(found.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
+    spans = found.groupBy("id").agg(F.collect_list(F.struct("tag", "s", "e")).alias("spans"))
+    spans = keep(cluster.withColumnRenamed("node", "id").join(spans, "id", "left"))
+    forget(found)
+    small = spans.agg(F.count("*") + F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_IDS // 8
     placed = rows.join(F.broadcast(spans) if small else spans, rows["key"] == spans["id"], "left").drop("id")
     sent = [c for c in placed.columns if c not in ("text", "spans")]
 
@@ -287,12 +430,15 @@ def deduplicate_passages(docs: DataFrame, *, percent: int = 80, key: str = "doc_
                 clean, n, removed, kept_spans = [], [], [], []
                 for value, found_spans in zip(part.column("text"), part.column("spans").to_pylist()):
                     t = value.as_py()
-                    w = len(_WORD.findall((t or "").encode("utf-8", "surrogatepass")))
-                    s = [(a, min(b, w)) for a, b in merged([(x["s"], x["e"]) for x in found_spans or ()]) if a < w]
+                    words = ascii_words(t)
+                    w, s = len(words), []
+                    if found_spans and w >= SPAN:
+                        tag = _digest(word_ids(words))[1]
+                        s = merged([(x["s"], min(x["e"], w)) for x in found_spans if x["tag"] == tag])
                     clean.append(cut(t, s) if s else t), n.append(w), removed.append(sum(b - a for a, b in s)), kept_spans.append([{"s": a, "e": b} for a, b in s])
                 kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in sent), pa.array(clean, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_spans, kind)], [*sent, "clean", "n_words", "n_removed", "spans"])
 
     kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in sent)
     out = placed.mapInArrow(run, f"{kinds}, clean string, n_words bigint, n_removed bigint, spans array<struct<s:bigint,e:bigint>>")
-    return out.select(F.col("key").alias(key), "clean", "n_words", "n_removed", "spans", F.coalesce("component", "key").alias("cluster_id"), *[F.col(f"o{k}").alias(c) for k, c in enumerate(others)])
+    return out.select(F.col("key").alias(key), "clean", "n_words", "n_removed", "spans", F.coalesce("component", "key").alias("cluster_id"), *(["others"] if columns else []))
