@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that a task folds together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Bytes of blobs in one Arrow batch.
+BATCH_BYTES = 2 << 20
 #: Bytes of text for each receiving task, where the session has fewer shuffle partitions.
 TASK_BYTES = 32 << 20
 
@@ -69,8 +71,9 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
             out = list(blobs(kind, columns)) if len(columns[0]) else []
             if known and len(known[0]):
                 out.append((buckets + mine, -1, b"".join(k.astype(np.int64).tobytes() for k in known)))
-            if out:
-                yield batch_of(out)
+            size_of = np.cumsum([len(blob) for _, _, blob in out]) // BATCH_BYTES
+            for k in np.unique(size_of):
+                yield batch_of([out[i] for i in np.flatnonzero(size_of == k)])
 
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):

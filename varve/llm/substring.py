@@ -164,7 +164,15 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted(columns: list[np.ndarray], by: tuple[int, ...]) -> list[np.ndarray]:
-    order = np.lexsort(tuple(columns[k] for k in reversed(by)))
+    """Rows by the first column of ``by``, then by the others; only rows that are equal in the first are sorted by these."""
+    first = columns[by[0]]
+    order = np.argsort(first)
+    if len(by) > 1:
+        h = first[order]
+        same = np.concatenate((h[1:] == h[:-1], np.zeros(min(1, len(h)), bool)))
+        same[1:] |= same[:-1]
+        at, some = np.flatnonzero(same), order[same]
+        order[at] = some[np.lexsort(tuple(columns[k][some] for k in reversed(by)))]
     return [c[order] for c in columns]
 
 
@@ -245,8 +253,7 @@ def _scan_runs(kind: int, columns: list[np.ndarray]):
 
 def _fold_between(kind: int, columns: list[np.ndarray]):
     content = mix((columns[4] * _ODD[:BETWEEN]).sum(axis=1, dtype=np.uint64) + (columns[3] & 3))
-    order = np.lexsort((columns[1], content, columns[0]))
-    columns, content = [c[order] for c in columns], content[order]
+    *columns, content = _sorted([*columns, content], (0, 5, 1))
     h = columns[0]
     fresh = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (content[1:] != content[:-1])))
     return None, _sorted([c[fresh] for c in columns], (1,))
