@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,7 +185,7 @@ def test_a_star_of_near_copies_is_one_component(spark):
             w[k] = f"s{c}x{k}"
         spokes.append((c, " ".join(w)))
     items = [*spokes, (600, " ".join(base))]
-    sets = {i: set(neardup.shingle_set(t, 5).tolist()) for i, t in items}
+    sets = {i: set(neardup.shingle_sets(pa.array([t]), 5)[0].tolist()) for i, t in items}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = brute_components(sorted(sets), links)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, items)).collect()}
@@ -401,3 +402,16 @@ def test_mixing(spark):
 
 def test_literal_rows(spark):
     assert [tuple(r) for r in common.literal_rows(spark, [(1, 2**62), (3, -4)], "a int, b bigint").collect()] == [(1, 2**62), (3, -4)]
+
+
+def test_word_hashes_equal_plain_words(monkeypatch):
+    texts = ["Hello  World foo", None, "", "  ", "a", "foo\tBAR\n", "x" * 5000 + " " + "X" * 5000 + " foo", "naïve É é", "end", "start bar", "\x0b\x0cq\x00r s"]
+    ids, at = common.words_of(pa.array(texts))
+    words = [common.ascii_words(t) for t in texts]
+    assert np.diff(at).tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    assert len({(w, h) for w, h in zip(flat, ids.tolist())}) == len(set(flat)) == len(set(ids.tolist()))
+    part, start = common.words_of(pa.array(texts).slice(3, 5))
+    assert part.tolist() == ids[at[3] : at[8]].tolist() and start[-1] == len(part)
+    monkeypatch.setattr(common, "SEGMENT", 50)
+    assert common.words_of(pa.array(texts))[0].tolist() == ids.tolist() and len(common.words_of(pa.array([], pa.string()))[0]) == 0

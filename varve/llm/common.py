@@ -9,16 +9,15 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words in a worker's memo before it is emptied (about 100 bytes each).
-MEMO_WORDS = 400_000
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder; a temporary one only where none is set and everything runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -67,26 +66,88 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
 # ---------------------------------------------------------------- words and shingles
 
 
-class WordHashes(dict):
-    """bytes word -> 64-bit hash, remembered up to MEMO_WORDS words."""
+def ascii_words(text: str | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; bytes.lower and bytes.split know just ASCII."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+#: Bytes hashed at a time; longer words are hashed one by one.
+SEGMENT, LONG_WORD = 1 << 20, 1 << 12
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-_hashes = WordHashes()
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, at least ``n`` of them."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0], _powers[1]
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; bytes.lower and bytes.split know just ASCII."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+def _byte_values() -> np.ndarray:
+    """A random number for each byte; the same for a letter of A-Z and its small one."""
+    out = np.random.default_rng(1).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out[ord("A") : ord("Z") + 1] = out[ord("a") : ord("z") + 1]
+    return out
+
+
+_VALUES, _SPACES = _byte_values(), np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts in order, where each text's words start, and their number at the end).
+
+    Words are those of ``ascii_words``; a null text has none. Hashes are differences of prefix sums over the bytes.
+    """
+    texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    at = at - at[0]
+    space = np.concatenate((_SPACES[raw], np.ones(1, bool)))
+    fresh = np.zeros(len(raw) + 1, bool)
+    fresh[at] = True
+    before = np.concatenate((np.ones(1, bool), space[:-1]))
+    start = np.flatnonzero(~space & (before | fresh))
+    end = np.flatnonzero(~before & (space | fresh))
+    out = np.empty(len(start), np.uint64)
+    long = end - start > LONG_WORD
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]].tobytes().lower())
+    power, back = powers(SEGMENT + LONG_WORD + 1)
+    k = 0
+    while k < len(start):
+        first = start[k]
+        stop = max(k + 1, int(np.searchsorted(start, first + SEGMENT)))
+        some = np.arange(k, stop)[~long[k:stop]]
+        if len(some):
+            part = _VALUES[raw[first : end[some[-1]]]]
+            part *= power[: len(part)]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part)))
+            s, e = start[some] - first, end[some] - first
+            out[some] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
+        k = stop
+    return out, np.searchsorted(start, at)
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    """The same hashes of a list of words."""
+    return words_of(pa.array([b" ".join(words).decode("utf-8", "surrogatepass")]))[0]
+
+
+def split_by_bytes(batch: pa.RecordBatch, column: str = "text", size: int = SEGMENT, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of about ``size`` bytes, one row at least."""
+    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0)
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(n, (n[at - 1] if at else 0) + size))
+        stop = min(max(at + 1, stop), at + rows, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -160,7 +221,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # an exchange of its own: adaptive execution splits a join only where both sides come straight from a shuffle
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
         out = both.join(low, "u")
         out = out.where("v > u") if large else out
         linked = out.select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import split_by_bytes
+
 #: Rows that a task folds together.
 CHUNK = 1 << 19
 #: Bytes of blobs in one Arrow batch.
@@ -76,7 +78,7 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
                 yield batch_of([out[i] for i in np.flatnonzero(size_of == k)])
 
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in split_by_bytes(batch):
                 for kind, columns in make(part):
                     if len(columns[0]):
                         held.setdefault(kind, []).append(columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, jaccard_at_least, keep, local_forest
+from .common import components, forget, jaccard_at_least, keep, local_forest, split_by_bytes
 
 #: A path is LEVELS bytes in a long, the first level uppermost.
 LEVELS = 8
@@ -122,7 +122,7 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, rows: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
     """The pairs (a, b), a written table, whose sets reach ``percent``; sets are made of rows (key, text) by ``make``.
 
     Each text's set is made where the text is read, once per side, and only that of b is shuffled with its pair.
@@ -130,9 +130,9 @@ def confirmed(pairs: DataFrame, rows: DataFrame, make: Callable[[str | None], np
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in split_by_bytes(batch):
                 keep_columns = [c for c in part.schema.names if c != "text"]
-                sets = pa.array([make(v.as_py()).tobytes() for v in part.column("text")], pa.binary())
+                sets = pa.array([x.tobytes() for x in make(part.column("text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep_columns), sets], [*keep_columns, "set"])
 
     later = rows.join(_sent(pairs.select(F.col("b").alias("key"), "a")), "key").mapInArrow(made, "key bigint, a bigint, set binary").select(F.col("key").alias("b"), "a", F.col("set").alias("y"))
@@ -148,7 +148,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, make: Callable[[str | None], np
     return later.join(first, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def linked_components(candidates: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], percent: int) -> DataFrame:
+def linked_components(candidates: DataFrame, rows: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
     """(node, component) of the links that ``confirmed`` finds among ``candidates`` (a written table of distinct pairs).
 
     First each document is held against its smallest candidate. Pairs whose ends are linked by then need no confirmation,
@@ -193,7 +193,7 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def dense_links(inside: DataFrame, comp: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], percent: int) -> DataFrame:
+def dense_links(inside: DataFrame, comp: DataFrame, rows: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
     """(a, b) links that join, within components, all rows linked in a region of ``inside`` (tree, top, id) but not yet in ``comp``.
 
     Where a region's rows are in more than one component, every pair of rows of different components is compared on the full
@@ -219,8 +219,8 @@ def dense_links(inside: DataFrame, comp: DataFrame, rows: DataFrame, make: Calla
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([make(v.as_py()).tobytes() for v in part.column("text")], pa.binary())], ["id", "set"])
+            for part in split_by_bytes(batch):
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([x.tobytes() for x in make(part.column("text"))], pa.binary())], ["id", "set"])
 
     ids = _sent(keep(dealt.select(F.col("id").alias("key")).distinct()))
     sets = keep(rows.join(ids, "key", "left_semi").select("key", "text").mapInArrow(made, "id bigint, set binary").dropDuplicates(["id"]))
@@ -250,7 +250,7 @@ def dense_links(inside: DataFrame, comp: DataFrame, rows: DataFrame, make: Calla
     return links
 
 
-def forest_components(entries: DataFrame, comp: DataFrame, rows: DataFrame, make: Callable[[str | None], np.ndarray], depth: int, window: int, percent: int, trees: int) -> DataFrame:
+def forest_components(entries: DataFrame, comp: DataFrame, rows: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], depth: int, window: int, percent: int, trees: int) -> DataFrame:
     """``comp`` (node, component), joined further by the links within the dense regions of ``entries``, a few trees at a time.
 
     A region is dense if it has more rows than ``forest_pairs`` pairs with each other.

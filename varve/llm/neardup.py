@@ -10,15 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, forget, keep, minhash, permutations, shingles, word_ids
+from .common import forget, keep, minhash, permutations, shingles, split_by_bytes, words_of
 from .forest import LEVELS, forest_components, forest_pairs, linked_components
 
 #: Ids up to so many are sent to every executor; beyond, the text is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingles(word_ids(ascii_words(text)), width))
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text, without repeats."""
+    words, at = words_of(texts)
+    return [np.unique(shingles(words[s:e], width)) for s, e in zip(at[:-1], at[1:])]
 
 
 def signatures(rows: DataFrame, width: int, trees: int, seed: int = 8) -> DataFrame:
@@ -27,8 +29,8 @@ def signatures(rows: DataFrame, width: int, trees: int, seed: int = 8) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                sets = [shingle_set(v.as_py(), width) for v in part.column("text")]
+            for part in split_by_bytes(batch):
+                sets = shingle_sets(part.column("text"), width)
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
                 paths = np.zeros((len(sets), trees), np.uint64)
@@ -68,8 +70,8 @@ def near_duplicates(
     entries = keep(reps.select("n", F.col("key").alias("id"), F.posexplode("paths").alias("tree", "path")))
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 4096))
     pairs = keep(forest_pairs(entries, depth, window, percent, parts))
-    comp = linked_components(pairs, rows, lambda t: shingle_set(t, width), percent)
-    comp = forest_components(entries, comp, rows, lambda t: shingle_set(t, width), depth, window, percent, trees)
+    comp = linked_components(pairs, rows, lambda texts: shingle_sets(texts, width), percent)
+    comp = forest_components(entries, comp, rows, lambda texts: shingle_sets(texts, width), depth, window, percent, trees)
     forget(entries)
     by_class = comp.select(F.col("node").alias("rep"), "component")
     out = placed.select("key", "n", "rep").join(by_class, "rep", "left")

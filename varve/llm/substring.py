@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, forget, keep, mix, shingles, word_ids
+from .common import components, forget, keep, mix, powers, shingles, split_by_bytes, words_of
 from .exchange import FILTER_BITS, KEY_BITS, KeyFilter, exchange, key_filter, tasks_for
 from .neardup import BROADCAST_IDS
 
@@ -44,6 +44,8 @@ _ODD = np.random.default_rng(3).integers(1, 2**63, 2 * BETWEEN + 8, dtype=np.uin
 #: Mark of a key that unlike documents are known to share.
 _MANY = np.uint32(2**32 - 1)
 _WHOLE = 1 << 30
+#: Bytes of spans that are sent to every executor; beyond, they are joined to the texts by a shuffle.
+SENT_BYTES = 32 << 20
 
 
 def least_positions(h: np.ndarray, window: int) -> np.ndarray:
@@ -69,20 +71,12 @@ def least_positions(h: np.ndarray, window: int) -> np.ndarray:
 class Rolling:
     """Hashes of runs of words by differences of prefix sums, modulo 2**64."""
 
-    _power = _back = np.ones(1, np.uint64)
-
     def __init__(self, words: np.ndarray):
-        n = len(words) + 1
-        if len(Rolling._power) < n:
-            base = 0x9E3779B97F4A7C15
-            for name, b in (("_power", base), ("_back", pow(base, -1, 2**64))):
-                steps = np.full(2 * n, b, np.uint64)
-                steps[0] = 1
-                setattr(Rolling, name, np.cumprod(steps))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * Rolling._power[: n - 1])))
+        self.power, self.back = powers(len(words) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.power[: len(words)])))
 
     def plain(self, at: np.ndarray, length: int) -> np.ndarray:
-        return (self.sums[at + length] - self.sums[at]) * Rolling._back[at]
+        return (self.sums[at + length] - self.sums[at]) * self.back[at]
 
     def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
         return mix(self.plain(at, length) + np.uint64(length))
@@ -95,7 +89,7 @@ class Rolling:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
         out = total[at + length - WIDTH + 1] - total[at]
         for j in range(1, WIDTH):
-            out += mix(self.plain(at + length - j, j) + Rolling._power[j] * self.plain(at, WIDTH - j) + np.uint64(WIDTH))
+            out += mix(self.plain(at + length - j, j) + self.power[j] * self.plain(at, WIDTH - j) + np.uint64(WIDTH))
         return mix(out)
 
 
@@ -105,17 +99,21 @@ def _digest(ids: np.ndarray) -> tuple[int, int]:
 
 
 class Batch:
-    """Documents of SPAN words at least: their words in one array, and where each starts."""
-
-    def __init__(self, keys: list, texts: list):
-        found = [(k, i) for k, t in zip(keys, texts) if k is not None for i in (word_ids(ascii_words(t)),) if len(i) >= SPAN]
-        self.ids = np.array([k for k, _ in found], np.int64)
-        self.digests = [_digest(i) for _, i in found]
-        self.tags = np.array([t for _, t in self.digests], np.uint32)
-        sizes = np.array([len(i) for _, i in found], np.int64)
+    """Documents of SPAN words at least, without later copies: their words in one array, and where each starts."""
+
+    def __init__(self, part: pa.RecordBatch):
+        words, at = words_of(part.column("text"))
+        keys = part.column("key").to_pylist()
+        gone = part.column("tags").to_pylist() if "tags" in part.schema.names else [None] * len(keys)
+        some = [(keys[k], d, k) for k in np.flatnonzero(np.diff(at) >= SPAN).tolist() for d in (_digest(words[at[k] : at[k + 1]]),) if not gone[k] or d[1] not in gone[k]]
+        self.ids = np.array([k for k, _, _ in some], np.int64)
+        self.digests = np.array([d for _, (d, _), _ in some], np.uint64)
+        self.tags = np.array([t for _, (_, t), _ in some], np.uint32)
+        rows = np.array([k for _, _, k in some], np.int64)
+        sizes = np.diff(at)[rows] if len(rows) else rows
         self.start = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-        self.words = np.concatenate([i for _, i in found]) if found else np.empty(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(found)), sizes)
+        self.words = np.concatenate([words[at[k] : at[k + 1]] for k in rows]) if len(rows) else np.empty(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(rows)), sizes)
 
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
         """(keys, positions) of the bands of every document."""
@@ -346,14 +344,6 @@ def _has(found: KeyFilter | None, part: pa.RecordBatch, batch: Batch, at: np.nda
     return np.fromiter((k in wanted.get(i, ()) for i, k in zip(batch.ids[batch.doc[at]].tolist(), keys.view(np.int64).tolist())), bool, len(keys))
 
 
-def _documents(part: pa.RecordBatch) -> Batch:
-    """Documents of a batch without later copies."""
-    keys, texts = part.column("key").to_pylist(), part.column("text").to_pylist()
-    gone = part.column("tags").to_pylist() if "tags" in part.schema.names else [None] * len(keys)
-    some = [k for k, g in enumerate(gone) if not g or _digest(word_ids(ascii_words(texts[k])))[1] not in g]
-    return Batch([keys[k] for k in some], [texts[k] for k in some])
-
-
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(id, tag, s, e, first): words s to e of a document of rows (key, text) that the earlier document ``first`` has.
 
@@ -363,10 +353,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     parts = tasks_for(rows)
 
     def bands(part: pa.RecordBatch):
-        batch = _documents(part)
+        batch = Batch(part)
         h, at = batch.bands()
         yield 0, [h, batch.ids[batch.doc[at]], batch.tags[batch.doc[at]], np.zeros(len(h), np.uint32)]
-        yield 1, [np.array([d for d, _ in batch.digests], np.uint64), batch.ids, batch.tags, np.zeros(len(batch.ids), np.uint32)]
+        yield 1, [batch.digests, batch.ids, batch.tags, np.zeros(len(batch.ids), np.uint32)]
 
     banded = keep(exchange(rows, bands, _fold_bands, _scan_bands, _KEYS, "kind bigint, id bigint, key bigint, tag bigint", parts))
     copies = banded.where("kind = 1").select("id", "tag", F.col("key").alias("first"))
@@ -374,7 +364,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     near, sent = _marked(first_rows, banded.where("kind = 0").select("id", "key"))
 
     def runs(part: pa.RecordBatch):
-        batch = _documents(part)
+        batch = Batch(part)
         h, at = batch.bands()
         at = at[_has(sent and sent.value, part, batch, at, h)]
         if not len(at):
@@ -389,7 +379,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     both, chosen = _marked(first_rows, found.where("s < 0").select("id", F.col("first").alias("key")))
 
     def between(part: pa.RecordBatch):
-        batch = _documents(part)
+        batch = Batch(part)
         at = batch.bands()[1]
         if sent:
             at = at[sent.value.has(batch.bands()[0])]
@@ -410,6 +400,18 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return found.where("s >= 0").unionByName(edited).unionByName(whole)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each document, merged by tag, as triples (tag, start, end) of 32 bits."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            by_tag = {}
+            for x in spans:
+                by_tag.setdefault(x["tag"], []).append((x["s"], x["e"]))
+            out.append(np.array([(tag, a, b) for tag, found in sorted(by_tag.items()) for a, b in merged(found)], np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "spans"])
+
+
 def deduplicate_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", columns: list[str] = ()) -> DataFrame:
     """Per row: key, clean (the text without passages that an earlier document has), n_words, n_removed, spans, cluster_id, others.
 
@@ -424,27 +426,27 @@ def deduplicate_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *others)
     found = keep(repeated_spans(rows.select("key", "text")))
     cluster = keep(components(found.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
-    spans = found.groupBy("id").agg(F.collect_list(F.struct("tag", "s", "e")).alias("spans"))
+    spans = found.groupBy("id").agg(F.collect_list(F.struct("tag", "s", "e")).alias("spans")).mapInArrow(_packed, "id bigint, spans binary")
     spans = keep(cluster.withColumnRenamed("node", "id").join(spans, "id", "left"))
     forget(found)
-    small = spans.agg(F.count("*") + F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_IDS // 8
+    small = spans.agg(F.coalesce(F.sum(F.lit(24) + F.coalesce(F.octet_length("spans"), F.lit(0))), F.lit(0))).first()[0] <= SENT_BYTES
     placed = rows.join(F.broadcast(spans) if small else spans, rows["key"] == spans["id"], "left").drop("id")
     sent = [c for c in placed.columns if c not in ("text", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                clean, n, removed, kept_spans = [], [], [], []
-                for value, found_spans in zip(part.column("text"), part.column("spans").to_pylist()):
-                    t = value.as_py()
-                    words = ascii_words(t)
-                    w, s = len(words), []
+            for part in split_by_bytes(batch):
+                words, at = words_of(part.column("text"))
+                clean, removed, kept_spans = [], [], []
+                for k, found_spans in enumerate(part.column("spans").to_pylist()):
+                    t, w, s = None, int(at[k + 1] - at[k]), []
                     if found_spans and w >= SPAN:
-                        tag = _digest(word_ids(words))[1]
-                        s = merged([(x["s"], min(x["e"], w)) for x in found_spans if x["tag"] == tag])
-                    clean.append(cut(t, s) if s else t), n.append(w), removed.append(sum(b - a for a, b in s)), kept_spans.append([{"s": a, "e": b} for a, b in s])
+                        tag = _digest(words[at[k] : at[k + 1]])[1]
+                        s = merged([(s, min(e, w)) for g, s, e in np.frombuffer(found_spans, np.uint32).reshape(-1, 3).tolist() if g == tag])
+                    t = part.column("text")[k].as_py()
+                    clean.append(cut(t, s) if s else t), removed.append(sum(b - a for a, b in s)), kept_spans.append([{"s": a, "e": b} for a, b in s])
                 kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in sent), pa.array(clean, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_spans, kind)], [*sent, "clean", "n_words", "n_removed", "spans"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in sent), pa.array(clean, pa.string()), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_spans, kind)], [*sent, "clean", "n_words", "n_removed", "spans"])
 
     kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in sent)
     out = placed.mapInArrow(run, f"{kinds}, clean string, n_words bigint, n_removed bigint, spans array<struct<s:bigint,e:bigint>>")
