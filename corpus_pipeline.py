@@ -15,7 +15,7 @@ TARGETS = {"good": 0.97, "poor": 0.01, "toxic": 0.02}
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, columns=docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model, columns=docs.columns).where("predicted = 1").select("others.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents as often as their rate says: good ones once, of the other domains a share that meets the targets."""
     labelled = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     done = mixing.mix(docs, labelled, TARGETS, anchor="good", keep_whole=("good",), most=1.0, columns=docs.columns)
-    return done.where("copies > 0").select(*docs.columns)
+    return done.where("copies > 0").select("others.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,9 @@ def test_stages(spark, tmp_path):
     for r in packed:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {i: len(library_ids(t)) + 1 for i, t in after.items()}
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

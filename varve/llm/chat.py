@@ -47,9 +47,10 @@ def unescape(text: Column, template: Template) -> Column:
 
 
 def format_chats(turns: DataFrame, template: Template | None = None, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per conversation: key, formatted, segments (array of role, text as written, loss; in order), n_turns, valid_order.
+    """Per conversation: key, formatted, segments (array of role, part, text as written, loss; in order), n_turns, valid_order.
 
-    Turns go by turn number; ties by role, then text; a null turn goes first. Null texts and roles are empty.
+    A turn is three segments: the mark before its text ("open"), its "text", and the mark after it ("close"). Only texts of
+    loss roles bear loss. Turns go by turn number; ties by role, then text; a null turn goes first. Null texts and roles are empty.
     Repeated rows are turns of their own. Rows with a null key form one conversation. ``valid_order`` is the verdict
     of the role machine: every role allowed after the one before, the last one in ``template.last``. No row is dropped.
     A conversation is one row of the result, so its turns meet in one task; there is no other grouping.
@@ -57,20 +58,21 @@ def format_chats(turns: DataFrame, template: Template | None = None, *, key: str
     t = template or Template()
     rows = turns.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    segment = lambda x: F.struct(
-        x["role"].alias("role"),
-        F.concat(F.lit(t.open), escape(x["role"], t), F.lit(t.middle), escape(x["text"], t), F.lit(t.close)).alias("text"),
-        x["role"].isin(*t.loss_roles).alias("loss"),
+    part = lambda x, name, text, loss: F.struct(x["role"].alias("role"), F.lit(name).alias("part"), text.alias("text"), loss.alias("loss"))
+    segment = lambda x: F.array(
+        part(x, "open", F.concat(F.lit(t.open), escape(x["role"], t), F.lit(t.middle)), F.lit(False)),
+        part(x, "text", escape(x["text"], t), x["role"].isin(*t.loss_roles)),
+        part(x, "close", F.lit(t.close), F.lit(False)),
     )
     moves = F.array(*[F.lit(f"{a}\0{b}") for a, after in t.follow.items() for b in after])
     start = F.struct(F.lit("").alias("state"), F.lit(True).alias("ok"))
     end = F.aggregate("turns", start, lambda s, x: F.struct(x["role"].alias("state"), (s["ok"] & F.array_contains(moves, F.concat(s["state"], F.lit("\0"), x["role"]))).alias("ok")))
-    rows = rows.select("key", F.transform("turns", segment).alias("segments"), end.alias("end"))
+    rows = rows.select("key", F.flatten(F.transform("turns", segment)).alias("segments"), end.alias("end"), F.size("turns").cast("long").alias("n_turns"))
     return rows.select(
         F.col("key").alias(key),
         F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
         "segments",
-        F.size("segments").cast("long").alias("n_turns"),
+        "n_turns",
         (F.col("end.ok") & F.col("end.state").isin(*t.last)).alias("valid_order"),
     )
 

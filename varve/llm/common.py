@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def scratch_root(spark: SparkSession) -> str:
@@ -208,12 +208,18 @@ def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 # ---------------------------------------------------------------- connected components
 
 
+def hidden(name: str) -> Column:
+    """A bigint column that the planner doesn't know to be one: a join on it gets an exchange of its own."""
+    return F.bitwise_not(F.bitwise_not(name))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges stop changing. Every step is a
     grouped minimum, which combines before its shuffle, and a join that adaptive execution can split, so
-    a node with a large share of all edges is no bottleneck. Nothing but two numbers reaches the driver.
+    a node with a large share of all edges is no bottleneck. Nothing but two numbers reaches the driver. Raises if
+    ``rounds`` are not enough; the number needed grows with the logarithm of the longest path.
     """
     def step(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -222,7 +228,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         else:
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         # an exchange of its own: adaptive execution splits a join only where both sides come straight from a shuffle
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).withColumn("u", hidden("u"))
         out = both.join(low, "u")
         out = out.where("v > u") if large else out
         linked = out.select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -242,6 +248,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         cur, before, seen = new, seen, now
         if before == seen:
             break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = cur.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import components, keep, local_forest
 
 #: Vectors of a list that are compared in one task at a time, on either side.
-BLOCK = 2048
+BLOCK = 512
 SLACK = 1e-6
+#: Numbers in a sample that an index is fitted on.
+SAMPLE_VALUES = 4_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -58,11 +60,15 @@ class Index:
 
     def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> np.ndarray:
         """(rows, lists) mask of the lists from a vector's own on that it probes for vectors within ``radius``."""
-        d2 = ((x[:, None, :] - self.centroids[None]) ** 2).sum(axis=2) if x.size * len(self.centroids) < 2e7 else np.maximum(0, 1 + (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T)
-        own = d2[np.arange(len(x)), at]
-        between = np.sqrt(((self.centroids[at][:, None, :] - self.centroids[None]) ** 2).sum(axis=2))
-        reach = radius + SLACK
-        return (d2 - own[:, None] <= 2 * reach * between + SLACK) & (np.arange(len(self.centroids)) >= at[:, None])
+        d2 = (x**2).sum(axis=1)[:, None] + (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
+        own, reach = d2[np.arange(len(x)), at], radius + SLACK
+        return (d2 - own[:, None] <= 2 * reach * self.gaps[at] + SLACK) & (np.arange(len(self.centroids)) >= at[:, None])
+
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        """(lists, lists) distances between centroids."""
+        c2 = (self.centroids**2).sum(axis=1)
+        return np.sqrt(np.maximum(0, c2[:, None] + c2 - 2 * self.centroids @ self.centroids.T))
 
     def table_distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """(queries, codes) distances by lookup in each query's tables for the list ``of``."""
@@ -83,13 +89,15 @@ def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int = 256, seed:
 
 
 def near_vectors(
-    vectors: DataFrame, *, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample_rows: int = 8192, max_lists: int = 256, subspaces: int = 16
+    vectors: DataFrame, *, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample_rows: int = 8192, max_lists: int = 512, subspaces: int = 16, indexes: int = 16
 ) -> DataFrame:
     """Per row: key, n_links (other vectors linked directly), component_id (smallest key reachable, itself included), kept.
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is at least ``cosine``
     (which must exceed 0). Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths. Equal vectors of a label form one class that is compared once and counted with its rows.
+    Each of the ``indexes`` commonest lengths has an index fitted on at most ``sample_rows`` vectors (fewer where they are very
+    long), with half as many lists as the root of its classes, up to ``max_lists``; other lengths are compared whole.
     Each repeated row counts as a vector; rows that share a key are one node of the components. Rows with a null key are kept,
     with null component, and link with nothing. Counts, not pairs, leave a task: blocks of at most BLOCK vectors of a list on
     either side are compared at a time, so a list or label with a third of all rows is dealt over many tasks.
@@ -101,23 +109,22 @@ def near_vectors(
     fine = F.coalesce(F.col("key").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & ~bad & F.when(~bad, norm2 > 0), F.lit(False))
     # 0.0 and -0.0 are equal to a grouping, and to a cosine
     classes = keep(rows.where(fine).groupBy("label", "vec").agg(F.min("key").alias("rep"), F.count("*").alias("copies")))
-    total = classes.count()
-    if not total:
+    lengths = classes.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").limit(indexes + 1).collect()
+    if not lengths:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    width = classes.agg(F.max(F.size("vec"))).first()[0]
-    taken = classes.where(F.size("vec") == width).orderBy(F.xxhash64("rep", "label")).limit(sample_rows).select("vec").collect()
     unit = lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None]
     radius = float(np.sqrt(2 - 2 * cosine))
 
     placed = []
-    widths = [r[0] for r in classes.select(F.size("vec").alias("w")).distinct().limit(65).collect()]
-    if len(widths) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    for w in widths:
-        sample = np.array([r[0] for r in taken]) if w == width else np.array([r[0] for r in classes.where(F.size("vec") == w).orderBy(F.xxhash64("rep", "label")).limit(sample_rows).select("vec").collect()])
+    for w, total in lengths[:indexes]:
+        mine = classes.where(F.size("vec") == w)
+        taken = mine.orderBy(F.xxhash64("rep", "label")).limit(max(1, min(sample_rows, SAMPLE_VALUES // w))).select("vec").collect()
+        sample = np.array([r[0] for r in taken])
         sample = sample / np.abs(sample).max(axis=1)[:, None]
         index = fit(unit(sample), int(min(max_lists, max(1, np.sqrt(total) / 2))), subspaces)
-        placed.append(_linked(classes.where(F.size("vec") == w), index, w, cosine, radius))
+        placed.append(_linked(mine, index, w, cosine, radius))
+    if len(lengths) > indexes:
+        placed.append(_linked(classes.where(~F.size("vec").isin([w for w, _ in lengths[:indexes]])), None, 0, cosine, radius))
     found = keep(reduce(DataFrame.unionByName, placed))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     edges = found.where("b is not null").select("a", "b")
@@ -130,8 +137,11 @@ def near_vectors(
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), where.alias("component_id"), F.coalesce(F.col("key") == where, F.lit(True)).alias("kept"))
 
 
-def _linked(classes: DataFrame, index: Index, width: int, cosine: float, radius: float) -> DataFrame:
-    """Rows (a, b, n): with b null, class a links to n vectors of other classes; else an edge that keeps the components."""
+def _linked(classes: DataFrame, index: Index | None, width: int, cosine: float, radius: float) -> DataFrame:
+    """Rows (a, b, n): with b null, class a links to n vectors of other classes; else an edge that keeps the components.
+
+    Without an index vectors of any length are taken, and all of a length are a list.
+    """
     sent = classes.sparkSession.sparkContext.broadcast(index)
     label = classes.schema["label"].dataType.simpleString()
 
@@ -139,11 +149,18 @@ def _linked(classes: DataFrame, index: Index, width: int, cosine: float, radius:
         ix: Index = sent.value
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                x = np.array(part.column("vec").to_pylist(), np.float64).reshape(-1, width)
-                x = x / np.abs(x).max(axis=1)[:, None]
-                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                at, codes, err = ix.encode(x)
-                q, to = np.nonzero(ix.probes(x, at, radius))
+                if ix is None:
+                    x = [np.array(v, np.float64) for v in part.column("vec").to_pylist()]
+                    x = [v / np.abs(v).max() for v in x]
+                    x = [v / np.sqrt(v @ v) for v in x]
+                    at, codes, err = np.array([len(v) for v in x]), np.zeros((len(x), 0), np.uint8), np.zeros(len(x))
+                    q, to = np.arange(len(x)), at
+                else:
+                    x = np.array(part.column("vec").to_pylist(), np.float64).reshape(-1, width)
+                    x = x / np.abs(x).max(axis=1)[:, None]
+                    x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+                    at, codes, err = ix.encode(x)
+                    q, to = np.nonzero(ix.probes(x, at, radius))
                 row = pa.array(np.concatenate((np.arange(len(x)), q)), pa.int64())
                 vec = pa.array([v.tobytes() for v in x], pa.binary())
                 code = pa.array([c.tobytes() for c in codes], pa.binary())
@@ -168,13 +185,13 @@ def _linked(classes: DataFrame, index: Index, width: int, cosine: float, radius:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         rep, copies, err = (table.column(c).to_numpy() for c in ("rep", "copies", "err"))
         h, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, width)
+        vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(len(rep), -1)
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
         of, links, ea, eb = table.column("list")[0].as_py(), np.zeros(len(rep), np.int64), [], []
         cross = table.column("own").to_numpy() != of
         for s in range(0, len(q), 128):
             part = q[s : s + 128]
-            near = ix.table_distances(vec[part], of, codes[h]) <= radius + err[h][None] + SLACK
+            near = ix.table_distances(vec[part], of, codes[h]) <= radius + err[h][None] + SLACK if ix is not None else np.ones((len(part), len(h)), bool)
             some = np.flatnonzero(near.any(axis=0))
             if not len(some):
                 continue

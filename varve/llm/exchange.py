@@ -48,15 +48,22 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
     the second); ``scan(kind, columns)`` gives the results of whole groups. Results are lists of int64 arrays.
     """
     names = [c.split()[0] for c in found.split(", ")]
-    buckets = 4 * parts
+    # a bucket for each task: the numbers that Spark's hash sends to each of them
+    seats, number = {}, 0
+    while len(seats) < parts:
+        more = rows.sparkSession.range(number, number + 16 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("task")).collect()
+        number += 16 * parts
+        for r in more:
+            seats.setdefault(r.task, r.id)
+    seats = np.array([seats[k] for k in range(parts)], np.int64)
 
     def blobs(kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-        bucket = ((columns[0] >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((columns[0] >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         columns, bucket = [c[order] for c in columns], bucket[order]
         cuts = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(bucket[s]), kind, b"".join(np.ascontiguousarray(c[s:e]).tobytes() for c in columns)
+            yield int(seats[bucket[s]]), kind, b"".join(np.ascontiguousarray(c[s:e]).tobytes() for c in columns)
 
     def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         bucket, kind, blob = zip(*rows)
@@ -72,7 +79,7 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
             size[kind] = 0
             out = list(blobs(kind, columns)) if len(columns[0]) else []
             if known and len(known[0]):
-                out.append((buckets + mine, -1, b"".join(k.astype(np.int64).tobytes() for k in known)))
+                out.append((int(seats[mine % parts]), -1, b"".join(k.astype(np.int64).tobytes() for k in known)))
             size_of = np.cumsum([len(blob) for _, _, blob in out]) // BATCH_BYTES
             for k in np.unique(size_of):
                 yield batch_of([out[i] for i in np.flatnonzero(size_of == k)])

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import split_by_bytes
+
 #: The payload is padded to a positive multiple of FRAME bytes with PAD; one STFT window is a frame.
 FRAME, PAD, RATE = 576, b"\xff", 8000
 HOP = FRAME // 2
@@ -67,35 +69,27 @@ def time_codes(found: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(out))
 
 
-def media_columns(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_media: bool = True) -> DataFrame:
-    """Per row: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, n_codes, codes_sha256
-    and, unless ``with_media`` is false, media (WAV bytes) and codes (array of time-coded peak pairs).
+def media_columns(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media (WAV bytes) and codes (array of time-coded peak pairs).
 
-    All that follows media_bytes and payload columns comes from the stored bytes as read back. A null text is empty: one frame of
+    Payload columns and codes come from the stored bytes as read back. A null text is empty: one frame of
     padding. Repeated rows each keep a row. Equal texts have equal values. A single row's bytes are the unit of memory.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_codes", "codes_sha256"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "codes"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                out, media, codes = [], [], []
+            for part in split_by_bytes(batch):
+                out = []
                 for value in part.column("text"):
                     data = (value.as_py() or "").encode()
                     stored = to_wav(pad(data))
                     payload = from_wav(stored)
-                    found = time_codes(peaks(np.frombuffer(payload, np.uint8)))
-                    out.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), len(found), hashlib.sha256(found.astype("<i8").tobytes()).hexdigest()))
-                    if with_media:
-                        media.append(stored), codes.append(found)
-                arrays = [part.column("key"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))]
-                if with_media:
-                    arrays += [pa.array(media, pa.binary()), pa.array(codes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", *names, *(["media", "codes"] if with_media else [])])
+                    out.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), stored, time_codes(peaks(np.frombuffer(payload, np.uint8)))))
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["key", *names])
 
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_codes bigint, codes_sha256 string" + (", media binary, codes array<bigint>" if with_media else "")
-    out = rows.mapInArrow(run, schema)
-    return out.select(F.col("key").alias(key), *out.columns[1:])
+    out = rows.mapInArrow(run, f"key {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media binary, codes array<bigint>")
+    return out.select(F.col("key").alias(key), *names)

@@ -99,21 +99,25 @@ def mix(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, key: str = "doc_id", text: str = "text", domain: str = "domain", anchor: str | None = None,
     keep_whole: Sequence[str] = (), most: float | None = None, rounds: int = 60, tolerance: float = 1e-4, columns: list[str] = (), **options,
 ) -> DataFrame:
-    """Per row: key, n_tokens (words), p_<domain>, rate (>= 0), copies, then ``columns`` of docs.
+    """Per row: key, n_tokens (words), p_<domain>, rate (>= 0), copies, miss, others.
 
     ``labelled`` has (key, domain); ``targets`` gives each domain's share of the expected tokens. The budget is the tokens of all
     documents, or with ``anchor`` such that this domain is taken just once. Rates minimise the sum over domains
     of the squared relative miss, subject to 0 <= rate <= ``most`` and rate >= 1 for documents whose likeliest domain is in
     ``keep_whole``. copies is rate rounded up or down by a hash of key and tokens, so its mean is rate. A domain that no
     document belongs to can't be met and gets no weight. Null and empty texts have 0 tokens and the posteriors of a text
-    without any known word. Repeated rows and null keys each keep their row; an empty table gives no rows.
+    without any known word. Repeated rows and null keys each keep their row; an empty table gives no rows. ``miss`` is the
+    same in all rows: the largest relative miss of a domain's target that is left after ``rounds``, above ``tolerance`` where
+    the constraints can't meet the targets. ``others`` is a struct of ``columns`` under their own names, so they clash
+    with no column of the result; it is absent if none are asked for.
     """
     names, k = list(targets), len(targets)
-    others = [c for c in columns if c != key]
+    carried = [F.struct(*[F.col(c) for c in columns]).alias("others")] if columns else []
+    others = ["others"] if columns else []
     model = fit_domains(docs, labelled, names, key=key, text=text, domain=domain, **options)
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), _words(text).alias("words"), whole.alias("whole"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)])
-    rows = _with_features(rows).select("key", F.size("words").cast("bigint").alias("n"), log_odds(F.col("features"), model).alias("odds"), *[f"o{i}" for i in range(len(others))])
+    rows = docs.select(F.col(key).alias("key"), _words(text).alias("words"), whole.alias("whole"), *carried)
+    rows = _with_features(rows).select("key", F.size("words").cast("bigint").alias("n"), log_odds(F.col("features"), model).alias("odds"), *others)
     # columns of their own: a lambda works out an expression that it holds anew for each element
     rows = rows.withColumn("top", F.array_max("odds"))
     rows = rows.withColumn("raised", F.transform("odds", lambda x: F.exp(x - F.col("top"))))
@@ -153,10 +157,11 @@ def mix(
         before, got = got, [float(x or 0) for x in weighed.agg(*[c.alias(f"x{i}") for i, c in enumerate(part)]).first()]
         if max(abs(a - b) / h for a, b, h in zip(before, got, have) if h > 0) < tolerance / 100:
             break
+    left = max([abs(g - w) / h for g, w, h in zip(got, want, have) if h > 0], default=0.0)
     out = base.withColumn("rate", F.round(rates(steps), 9))
     chance = F.pmod(F.xxhash64("key", "n", F.lit(77)), F.lit(1_000_003)) / 1_000_003
     copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_tokens"), *[(F.col("p")[i] / STEPS).alias(f"p_{d}") for i, d in enumerate(names)], "rate", copies.cast("bigint").alias("copies"), *[F.col(f"o{i}").alias(c) for i, c in enumerate(others)])
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_tokens"), *[(F.col("p")[i] / STEPS).alias(f"p_{d}") for i, d in enumerate(names)], "rate", copies.cast("bigint").alias("copies"), F.lit(round(left, 9)).alias("miss"), *others)
 
 
 def label_domains(labels: DataFrame, *, key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep, minhash, permutations, shingles, split_by_bytes, words_of
+from .common import forget, hidden, keep, minhash, permutations, shingles, split_by_bytes, words_of
 from .forest import LEVELS, forest_components, forest_pairs, linked_components
 
 #: Ids up to so many are sent to every executor; beyond, the text is joined by a shuffle.
@@ -63,7 +63,8 @@ def near_duplicates(
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     signed = keep(signatures(rows, width, trees))
-    classes = signed.where("d1 is not null and key is not null").groupBy("d1", "d2").agg(F.min("key").alias("rep"))
+    # exchanges of their own: adaptive execution can then split the join where a class holds many rows
+    classes = signed.where("d1 is not null and key is not null").groupBy("d1", "d2").agg(F.min("key").alias("rep")).withColumn("d1", hidden("d1"))
     placed = keep(signed.join(classes, ["d1", "d2"], "left").select("key", "n", "rep", F.when(F.col("key") == F.col("rep"), F.col("paths")).alias("paths")))
     forget(signed)
     reps = placed.where("paths is not null")

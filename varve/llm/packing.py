@@ -120,5 +120,7 @@ def pack(
 
     kind = pieces.schema["key"].dataType.simpleString()
     schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids binary" if keep_ids else "") + ", sequence_id bigint, offset bigint"
-    out = dealt.repartition(parts, "deal").drop("deal").mapInArrow(run, schema)
+    # in order within a task, so that a task that runs again makes the same sequences
+    order = ["deal", "key", "start", "length", "ids_crc32"]
+    out = dealt.repartition(parts, "deal").sortWithinPartitions(*order).drop("deal").mapInArrow(run, schema)
     return out.select(F.col("key").alias(key), *names[1:], "sequence_id", "offset")

@@ -49,11 +49,16 @@ def _byte_alphabet() -> dict[int, str]:
 _BYTES = _byte_alphabet()
 
 
+#: Characters of a pre-token that is remembered.
+LONGEST = 48
+
+
 class Memo(dict):
     """pre-token -> value(ids): a fixed first tier, then what this worker has met.
 
     The library's model encodes a pre-token by itself, without the steps around it. Two generations of up to ``bound``
-    entries are remembered: when one is full it becomes the older, and entries that are met again move to the younger.
+    entries of at most LONGEST characters are remembered: when one is full it becomes the older, and entries that are met again
+    move to the younger. Longer pre-tokens are encoded anew each time.
     """
 
     def __init__(self, path: str, value: Callable, first: dict | None = None, bound: int = 300_000):
@@ -66,6 +71,8 @@ class Memo(dict):
             out = self.first.get(word)
         if out is None:
             out = self.value([t.id for t in self.encode(word.encode().decode("latin-1").translate(_BYTES))])
+        if len(word) > LONGEST:
+            return out
         if len(self) >= self.bound:
             self.older = dict(self)
             self.clear()

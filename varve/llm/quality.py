@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import split_by_bytes
+
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "max_word", "upper", "digit", "symbol", "stop", "pipe", "space", "non_ascii", "entropy",
     "distinct_words", "top_word", "top_five_words", "same_as_next", "shouted_words", "symbol_words", "short_words", "long_words",
@@ -140,26 +142,30 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~is_held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     rows = rows.orderBy(F.xxhash64("key"), "key").limit(max_rows)
     joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(rows), "key")
-    found = sorted(_features(joined).collect(), key=lambda r: (str(r.key), r.x))
+    # one row a document, however often it is repeated
+    found = _features(joined).groupBy("key", "y").agg(F.min("x").alias("x")).collect()
+    found.sort(key=lambda r: (str(r.key), r.x))
     return fit(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.y for r in found], float), **options)
 
 
 def score(docs: DataFrame, model: Trees, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, columns: list[str] = ()) -> DataFrame:
-    """Per row: key, held_out, score (0 to 1; higher: label 1 likelier), predicted (1 if score >= threshold), then ``columns`` of docs.
+    """Per row: key, held_out, score (0 to 1; higher: label 1 likelier), predicted (1 if score >= threshold), others.
 
-    A null text is scored as an empty one. Only the text is an input of the score. Repeated rows each keep a row.
+    A null text is scored as an empty one. Only the text is an input of the score. Repeated rows each keep a row. ``others`` is a
+    struct of ``columns`` under their own names, so they clash with no column of the result; it is absent if none are asked for.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(columns)])
+    carried = [F.struct(*[F.col(c) for c in columns]).alias("others")] if columns else []
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *carried)
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            for part in split_by_bytes(batch):
                 x = np.array([statistics(v.as_py()) for v in part.column("text")]).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(sent.value.score(x))], [*others, "score"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
     out = rows.mapInArrow(run, f"{kinds}, score double")
     held = F.coalesce(is_held_out("key"), F.lit(False))
-    return out.select(F.col("key").alias(key), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"o{k}").alias(c) for k, c in enumerate(columns) if c != key])
+    return out.select(F.col("key").alias(key), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["others"] if columns else []))

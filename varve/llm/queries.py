@@ -26,7 +26,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_chats(turns.unionByName(more))
     back = done.withColumn("back", chat.read_back(F.col("formatted")))
     whole = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda x: x["loss"]), lambda x: x["text"]), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: chat.unescape(x["text"], chat.Template())), "")
     return back.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
@@ -70,10 +70,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
+    done = media.media_columns(table(spark, sf_dir, "documents"))
+    codes = F.array_join(F.transform("codes", lambda c: c.cast("string")), " ")
     return done.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        F.concat_ws(":", F.col("n_codes").cast("string"), "codes_sha256").alias("feature"),
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("codes").cast("string"), F.sha2(codes.cast("binary"), 256)).alias("feature"),
     )
 
 

@@ -227,7 +227,7 @@ def _repeats(columns):
 def _fold_runs(kind: int, columns: list[np.ndarray]):
     if kind == 0:
         known, rest = _repeats(columns)
-        return known, _sorted(rest, (1,))
+        return known, _sorted(rest, (1, 3))
     columns = _sorted(columns, (0, 3, 1))
     h, _, _, content = columns
     fresh = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (content[1:] != content[:-1])))
