@@ -10,6 +10,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,18 @@ def keep(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows while the plans inside run, where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in tables:
@@ -72,7 +85,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 
 #: Bytes hashed at a time; longer words are hashed one by one.
-SEGMENT, LONG_WORD = 1 << 20, 1 << 12
+SEGMENT, LONG_WORD = 1 << 18, 1 << 12
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -139,7 +152,7 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return words_of(pa.array([b" ".join(words).decode("utf-8", "surrogatepass")]))[0]
 
 
-def split_by_bytes(batch: pa.RecordBatch, column: str = "text", size: int = SEGMENT, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def split_by_bytes(batch: pa.RecordBatch, column: str = "text", size: int = 2 * SEGMENT, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with texts of about ``size`` bytes, one row at least."""
     n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0)
     at = 0

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_by_bytes
+from .common import batches_of, keep, split_by_bytes
 
 #: Rows that a task folds together.
 CHUNK = 1 << 19
-#: Bytes of blobs in one Arrow batch.
-BATCH_BYTES = 2 << 20
+#: Bytes of blobs in one Arrow batch, and rows of any batch.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 64
 #: Bytes of text for each receiving task, where the session has fewer shuffle partitions.
 TASK_BYTES = 32 << 20
 
@@ -41,8 +41,20 @@ def _unpack(blobs: list, kinds: list) -> list[np.ndarray]:
     return [np.concatenate(c) for c in columns]
 
 
+def _whole(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` bytes at least, but for the last."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, kinds: list[str], found: str, parts: int) -> DataFrame:
-    """Results of type ``found`` (names and types, all bigint) of groups of equal first columns.
+    """A written table of results of type ``found`` (names and types, all bigint) of groups of equal first columns.
 
     ``make(batch)`` yields (kind of row, columns); ``fold(kind, columns)`` gives (results known at once, columns to send, sorted by
     the second); ``scan(kind, columns)`` gives the results of whole groups. Results are lists of int64 arrays.
@@ -84,7 +96,7 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
             for k in np.unique(size_of):
                 yield batch_of([out[i] for i in np.flatnonzero(size_of == k)])
 
-        for batch in batches:
+        for batch in _whole(batches):
             for part in split_by_bytes(batch):
                 for kind, columns in make(part):
                     if len(columns[0]):
@@ -110,7 +122,9 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
                 yield as_batch([c[s : s + 65536] for c in out])
 
     sent = rows.mapInArrow(send, "bucket bigint, kind int, blob binary")
-    return sent.repartition(parts, "bucket").select("kind", "blob").mapInArrow(receive, found)
+    # blobs are large, and so may texts be
+    with batches_of(rows.sparkSession, BATCH_ROWS):
+        return keep(sent.repartition(parts, "bucket").select("kind", "blob").mapInArrow(receive, found))
 
 
 # ---------------------------------------------------------------- a filter of keys

@@ -358,7 +358,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         yield 0, [h, batch.ids[batch.doc[at]], batch.tags[batch.doc[at]], np.zeros(len(h), np.uint32)]
         yield 1, [batch.digests, batch.ids, batch.tags, np.zeros(len(batch.ids), np.uint32)]
 
-    banded = keep(exchange(rows, bands, _fold_bands, _scan_bands, _KEYS, "kind bigint, id bigint, key bigint, tag bigint", parts))
+    banded = exchange(rows, bands, _fold_bands, _scan_bands, _KEYS, "kind bigint, id bigint, key bigint, tag bigint", parts)
     copies = banded.where("kind = 1").select("id", "tag", F.col("key").alias("first"))
     first_rows = _without(rows, copies.select("id", "tag"))
     near, sent = _marked(first_rows, banded.where("kind = 0").select("id", "key"))
@@ -375,7 +375,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         h, s, content, _, _ = paragraphs(batch, at)
         yield 1, [h, *of(s), content.astype(np.uint32)]
 
-    found = keep(exchange(near, runs, _fold_runs, _scan_runs, _KEYS, "id bigint, tag bigint, s bigint, e bigint, first bigint", parts))
+    found = exchange(near, runs, _fold_runs, _scan_runs, _KEYS, "id bigint, tag bigint, s bigint, e bigint, first bigint", parts)
     both, chosen = _marked(first_rows, found.where("s < 0").select("id", F.col("first").alias("key")))
 
     def between(part: pa.RecordBatch):
@@ -395,7 +395,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             x = (s - batch.start[batch.doc[s]]) * 4 + kind
             yield 0, [h, batch.ids[batch.doc[s]], batch.tags[batch.doc[s]], x.astype(np.uint32), words]
 
-    edited = keep(exchange(both, between, _fold_between, _scan_between, _PARAGRAPHS, "id bigint, tag bigint, s bigint, e bigint, first bigint", parts))
+    edited = exchange(both, between, _fold_between, _scan_between, _PARAGRAPHS, "id bigint, tag bigint, s bigint, e bigint, first bigint", parts)
     whole = copies.select("id", "tag", F.lit(0).cast("bigint").alias("s"), F.lit(_WHOLE).cast("bigint").alias("e"), "first")
     return found.where("s >= 0").unionByName(edited).unionByName(whole)
 
