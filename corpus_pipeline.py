@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.llm import mixing, neardup, packing, quality, substring
-from varve.llm.common import keep
+from varve.llm.common import keep, text_batches
 
 #: Shares of the expected tokens by domain; good documents are all taken, once.
 TARGETS = {"good": 0.97, "poor": 0.01, "toxic": 0.02}
@@ -14,12 +14,14 @@ TARGETS = {"good": 0.97, "poor": 0.01, "toxic": 0.02}
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
+    text_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, columns=docs.columns).where("predicted = 1").select("others.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, once. Rows with a null id stay."""
+    text_batches(spark)
     found = keep(neardup.near_duplicates(docs).select("doc_id", "kept"))
     gone = keep(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
     twice = keep(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("gone")).count().where("count > 1").select("gone"))
@@ -36,6 +38,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier document has; n_chars counts the text that is left."""
+    text_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     done = substring.deduplicate_passages(docs, columns=others)
 
@@ -59,6 +62,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences."""
+    text_batches(spark)
     return packing.pack(docs)
 
 

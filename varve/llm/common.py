@@ -46,6 +46,17 @@ def keep(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+#: Texts in one Arrow batch; a batch is held twice outside the heap.
+TEXT_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches fit rows with whole texts, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows while the plans inside run, where rows are large."""
