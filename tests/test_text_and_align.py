@@ -72,7 +72,7 @@ def test_dates(spark):
 
 
 def test_claims(spark):
-    docs = spark.createDataFrame([(1, '<meta name="date" content="2011-05-06">x'), (2, "Published on May 6, 2011\nx"), (3, "nothing"), (4, '{"datePublished": "2012-01-02"}'), (5, None)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, '<meta name="date" content="2011-05-06">x'), (2, "Published on May 6, 2011\nx"), (3, "nothing"), (4, '<script type="application/ld+json">{"datePublished": "2012-01-02"}</script>'), (6, '{"datePublished": "2012-01-02"}'), (5, None)], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.surface, r.claimed.date().isoformat()) for r in dates.claims(docs).collect())
     assert got == [(1, "meta", "2011-05-06"), (2, "prose", "2011-05-06"), (4, "jsonld", "2012-01-02")]
 

@@ -32,7 +32,8 @@ def claimed(value: Column) -> Column:
     return F.when(F.year(when).between(FIRST_YEAR, LAST_YEAR), when)
 
 
-#: surface -> (pattern, group of the date, group of the field name or 0); (fixed values)
+#: Where and how a document states its date: surface -> (pattern, group of the date, group of the field name or 0), in the order
+#: in which claims count; then the block of front matter and the fields in it, and script blocks of linked data. (fixed values)
 SURFACES = {
     "meta": (r"""(?i)<meta[^>]+(?:name|property|itemprop)\s*=\s*["']?(date|dc\.date[\w.]*|article:published_time|article:modified_time|og:updated_time|pubdate|publish[-_]?date|datePublished|created)["']?[^>]*content\s*=\s*["']([^"']{4,40})["']""", 2, 1),
     "meta_reversed": (r"""(?i)<meta[^>]+content\s*=\s*["']([^"']{4,40})["'][^>]*(?:name|property|itemprop)\s*=\s*["']?(date|article:published_time|datePublished|pubdate)["']?""", 1, 2),
@@ -40,22 +41,48 @@ SURFACES = {
     "jsonld": (r"""(?i)"(datePublished|dateCreated|dateModified|uploadDate)"\s*:\s*"([^"]{4,40})\"""", 2, 1),
     "prose": (r"""(?i)(?:published|posted|updated|written|created|first\s+appeared|last\s+modified)(?:\s+(?:on|at|in))?\s*:?\s*(\d{4}-\d{2}-\d{2}|\d{1,2}\s+\w+\s+\d{4}|\w+\s+\d{1,2},?\s+\d{4})""", 1, 0),
 }
+_LINKED = r"""(?is)<script[^>]+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 _FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 _FRONT_DATE = r"""(?im)^\s*(date|published|created|pubdate)\s*:\s*['"]?([^'"\n]{4,40})"""
 
 
-def claims(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, surface, claimed): every distinct plausible date that a document states about itself, by surface."""
+#: What a field's claim is called. (fixed values)
+_NAMES = {"meta": "meta:", "meta_reversed": "meta:", "time": "time.datetime", "jsonld": "jsonld:", "front_matter": "frontmatter:", "prose": "prose"}
+
+
+def claims_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, surface, field, rank, claimed): every plausible date that a document states about itself, ranked in the order that claims count.
+
+    Linked data is read in its script blocks only, front matter at the very start, all else in the first SURFACE_CHARS characters.
+    """
     head = F.substring(F.col(text), 1, SURFACE_CHARS)
     front = F.regexp_extract(F.col(text), _FRONT, 1)
+    linked = F.array_join(F.regexp_extract_all(head, F.lit(_LINKED), F.lit(1)), "\n")
+    order = ["meta", "meta_reversed", "time", "jsonld", "front_matter", "prose"]
+
+    def said(name: str) -> Column:
+        pattern, group, named = (_FRONT_DATE, 2, 1) if name == "front_matter" else SURFACES[name]
+        where = {"front_matter": front, "jsonld": linked}.get(name, head)
+        values = F.regexp_extract_all(where, F.lit(pattern), F.lit(group))
+        if not named:
+            return F.transform(values, lambda d, i: F.struct(F.lit(name).alias("surface"), F.lit(_NAMES[name]).alias("field"), F.lit(order.index(name)).alias("part"), i.alias("at"), d.alias("said")))
+        fields = F.regexp_extract_all(where, F.lit(pattern), F.lit(named))
+        plain = (lambda f: f) if name == "jsonld" else F.lower
+        return F.transform(values, lambda d, i: F.struct(F.lit(name).alias("surface"), F.concat(F.lit(_NAMES[name]), plain(F.get(fields, i))).alias("field"), F.lit(order.index(name)).alias("part"), i.alias("at"), d.alias("said")))
+
+    found = docs.select(F.col(key), F.explode(F.concat(*[said(n) for n in order])).alias("x"))
+    rank = (F.col("x.part") * 1_000_000 + F.col("x.at")).alias("rank")
+    return found.select(key, "x.surface", "x.field", rank, claimed(F.col("x.said")).alias("claimed")).where("claimed is not null")
+
+
+def claims(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, surface, claimed): every distinct plausible date that a document states about itself, by surface."""
+    return claims_in_order(docs, key, text).select(key, "surface", "claimed").distinct()
 
-    def said(name: str, where: Column, pattern: str, group: int) -> Column:
-        return F.transform(F.regexp_extract_all(where, F.lit(pattern), F.lit(group)), lambda d: F.struct(F.lit(name).alias("surface"), d.alias("said")))
 
-    every = [said(name, head, p, g) for name, (p, g, _) in SURFACES.items()]
-    every.append(said("front_matter", front, _FRONT_DATE, 2))
-    found = docs.select(F.col(key), F.explode(F.concat(*every)).alias("x")).select(key, "x.surface", claimed(F.col("x.said")).alias("claimed"))
-    return found.where("claimed is not null").distinct()
+def from_epoch(seconds: Column) -> Column:
+    """UTC timestamp of seconds since 1970, whole or not."""
+    return F.timestamp_micros((seconds.cast("double") * 1_000_000).cast("bigint"))
 
 
 def wrap_claim(text: Column, claimed: Column, style: Column) -> Column:

@@ -31,6 +31,20 @@ def normalise(url: Column) -> Column:
     return F.concat(F.lit("//"), name, F.when(way == "", "/").otherwise(way), F.when(ordered == "", "").otherwise(F.concat(F.lit("?"), ordered)))
 
 
+def canonical_key(url: Column, params: Column | None = None) -> Column:
+    """One string per request: scheme and host in lower case, parameters (and those of a map) decoded, sorted and encoded anew."""
+    encode = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    decode = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pair = lambda x: F.struct(decode(F.regexp_extract(x, "^([^=]*)", 1)).alias("k"), decode(F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("v"))
+    pairs = F.transform(F.filter(F.split(query(url), "&"), lambda x: x != ""), pair)
+    if params is not None:
+        given = F.transform(F.map_entries(F.coalesce(params, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+        pairs = F.concat(pairs, given)
+    ordered = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(encode(p["k"]), F.lit("="), encode(p["v"]))), "&")
+    scheme = F.lower(F.regexp_extract(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.concat(F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))), F.when(host(url) == "", "").otherwise(F.concat(F.lit("//"), host(url))), path(url), F.when(ordered == "", "").otherwise(F.concat(F.lit("?"), ordered)))
+
+
 def search_key(url: Column) -> Column:
     return F.rtrim(F.concat(F.regexp_replace(host(url), r"^www\.", ""), path(url)), F.lit("/"))
 
@@ -40,7 +54,7 @@ def arxiv_id(url: Column) -> Column:
 
 
 def doi(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"(?i)doi\.org/(10\.\d{4,9}/\S+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)", 1), F.lit(""))
 
 
 def repository(url: Column) -> Column:

@@ -48,15 +48,40 @@ def band_keys(prints: DataFrame, cfg: AlignConfig = AlignConfig()) -> DataFrame:
     return prints.select("doc_id", F.explode(F.concat(*parts)).alias("b")).select("doc_id", "b.band", "b.key")
 
 
-def candidates(queries: DataFrame, archive: DataFrame, cfg: AlignConfig = AlignConfig()) -> DataFrame:
-    """(q_id, r_id, exact, hits): equal texts, and pairs that share a band; a query takes its best ``cfg.candidates``."""
+def window_keys(windows: DataFrame, cfg: AlignConfig = AlignConfig()) -> DataFrame:
+    """(doc_id, band, key, n): each window's sketch in bands of two slots, with the number of the document's windows that have it."""
+    band = lambda i: F.struct(F.concat(F.lit("window:"), i.cast("string")).alias("band"), F.xxhash64(F.slice("minhash", i * 2 + 1, 2)).alias("key"))
+    made = windows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), band)).alias("b"))
+    return made.groupBy("doc_id", "b.band", "b.key").agg(F.count("*").alias("n"))
+
+
+def _collisions(queries: DataFrame, archive: DataFrame, cfg: AlignConfig, with_windows: bool, wanted: Column | None) -> DataFrame:
+    """(q_id, r_id, hits): shared bands of documents, and of any window of one with any of the other, counted as often as they occur."""
+    one = lambda df: band_keys(df, cfg).withColumn("n", F.lit(1).cast("bigint"))
+    left, right = one(queries), one(archive)
+    if with_windows:
+        left, right = left.unionByName(window_keys(sketch.window_sketches(queries), cfg)), right.unionByName(window_keys(sketch.window_sketches(archive), cfg))
+    both = left.withColumnsRenamed({"doc_id": "q_id", "n": "q_n"}).join(right.withColumnsRenamed({"doc_id": "r_id", "n": "r_n"}), ["band", "key"])
+    if wanted is not None:
+        both = both.where(wanted)
+    return both.groupBy("q_id", "r_id").agg(F.sum(F.col("q_n") * F.col("r_n")).alias("hits"))
+
+
+def candidates(queries: DataFrame, archive: DataFrame, cfg: AlignConfig = AlignConfig(), windows: bool = True, wanted: Column | None = None) -> DataFrame:
+    """(q_id, r_id, exact, hits): equal texts, all of them, and the ``cfg.candidates`` other pairs of a query with most shared bands.
+
+    Window bands find a quotation in a long document, which bands of whole documents don't. ``wanted``, a condition on q_id and
+    r_id, is applied before the best are taken. The bound on candidates is part of the operator; without one (0) all pairs are kept.
+    """
     asked = queries.where(F.col("n_tokens") >= cfg.least_tokens)
     exact = asked.select(F.col("doc_id").alias("q_id"), "sha256").join(archive.select(F.col("doc_id").alias("r_id"), "sha256"), "sha256").select("q_id", "r_id", F.lit(1).alias("exact"), F.lit(0).cast("bigint").alias("hits"))
-    left, right = band_keys(asked, cfg).withColumnRenamed("doc_id", "q_id"), band_keys(archive, cfg).withColumnRenamed("doc_id", "r_id")
-    near = left.join(right, ["band", "key"]).groupBy("q_id", "r_id").agg(F.count("*").alias("hits")).select("q_id", "r_id", F.lit(0).alias("exact"), "hits")
+    exact = exact if wanted is None else exact.where(wanted)
+    near = _collisions(asked, archive, cfg, windows, wanted).select("q_id", "r_id", F.lit(0).alias("exact"), "hits")
     both = exact.unionByName(near).where("q_id <> r_id").groupBy("q_id", "r_id").agg(F.max("exact").alias("exact"), F.max("hits").alias("hits"))
-    best = Window.partitionBy("q_id").orderBy(F.desc("exact"), F.desc("hits"), "r_id")
-    return both.withColumn("n", F.row_number().over(best)).where(F.col("n") <= cfg.candidates).drop("n")
+    if not cfg.candidates:
+        return both
+    best = Window.partitionBy("q_id", "exact").orderBy(F.desc("hits"), "r_id")
+    return both.withColumn("n", F.row_number().over(best)).where((F.col("exact") == 1) | (F.col("n") <= cfg.candidates)).drop("n")
 
 
 def channel_scores(pairs: DataFrame, queries: DataFrame, archive: DataFrame) -> DataFrame:
@@ -158,9 +183,19 @@ def classify(rows: DataFrame, cfg: AlignConfig = AlignConfig()) -> DataFrame:
     return rows.withColumn("relation", relation).withColumn("confidence", sure)
 
 
-def matches(queries: DataFrame, archive: DataFrame, null: DataFrame | None = None, cfg: AlignConfig = AlignConfig()) -> DataFrame:
+def ordered(found: DataFrame) -> DataFrame:
+    """Matches with their place among those of a query, the surest first, ties by id."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("confidence"), "r_id")))
+
+
+def oldest_time(archive: DataFrame) -> DataFrame:
+    """One row: the earliest time and the number of dated documents of an archive."""
+    return archive.agg(F.min("not_after").alias("oldest"), F.count("not_after").alias("n_dated"))
+
+
+def matches(queries: DataFrame, archive: DataFrame, null: DataFrame | None = None, cfg: AlignConfig = AlignConfig(), wanted: Column | None = None) -> DataFrame:
     """(q_id, r_id, relation, confidence, not_after, scores) of related pairs; both sides as of fingerprints, archive with not_after."""
-    pairs = candidates(queries, archive, cfg)
+    pairs = candidates(queries, archive, cfg, wanted=wanted)
     scored = channel_scores(pairs, queries, archive)
     aligned = window_alignment(pairs, sketch.window_sketches(queries), sketch.window_sketches(archive), cfg.window)
     rows = scored.join(aligned, ["q_id", "r_id"], "left")

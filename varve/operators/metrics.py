@@ -57,7 +57,7 @@ def risk_coverage(df: DataFrame, score: str = "p", label: str = "label", confide
 
 
 def evaluation(df: DataFrame, p: str = "p", label: str = "label", abstained: str = "abstained", by: list[str] = ()) -> DataFrame:
-    """Per group: n, auc, brier, mean p and abstention of both classes."""
+    """Per group: n, auc, ece, brier, mean p and abstention of both classes."""
     by = list(by)
     pos, neg = F.col(label) == 1, F.col(label) == 0
     rate = lambda c: F.avg(F.when(c, F.col(abstained).cast("double")))
@@ -66,4 +66,6 @@ def evaluation(df: DataFrame, p: str = "p", label: str = "label", abstained: str
         F.avg(F.col(abstained).cast("double")).alias("abstain"), rate(pos).alias("abstain_pos"), rate(neg).alias("abstain_neg"),
     )
     scored = auc(df, p, label, by)
-    return rows.join(scored, by) if by else rows.join(F.broadcast(scored))
+    bins = df.groupBy(*by, _bin(F.col(p), 10).alias("bin")).agg(F.count("*").alias("m"), F.avg(p).alias("x"), F.avg(F.col(label).cast("double")).alias("y"))
+    error = bins.groupBy(*by).agg((F.sum(F.col("m") * F.abs(F.col("x") - F.col("y"))) / F.sum("m")).alias("ece"))
+    return rows.join(scored, by).join(error, by) if by else rows.join(F.broadcast(scored)).join(F.broadcast(error))

@@ -105,10 +105,13 @@ def with_interval(df: DataFrame, cfg: VerdictConfig = VerdictConfig()) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                lo, hi = beta_interval(part.column("p").to_numpy(), part.column("strength").to_numpy(), cfg)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lo), pa.array(hi)], ["p", "strength", "ci_low", "ci_high"])
+                p, strength = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("p", "strength"))
+                lo, hi = beta_interval(np.nan_to_num(p, nan=0.5), np.nan_to_num(strength), cfg)
+                none = np.isnan(p) | np.isnan(strength)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lo, mask=none), pa.array(hi, mask=none)], ["_p", "_strength", "ci_low", "ci_high"])
 
-    return df.join(pairs.mapInArrow(run, "p double, strength double, ci_low double, ci_high double"), ["p", "strength"])
+    made = pairs.mapInArrow(run, "_p double, _strength double, ci_low double, ci_high double")
+    return df.join(made, F.col("p").eqNullSafe(F.col("_p")) & F.col("strength").eqNullSafe(F.col("_strength")), "left").drop("_p", "_strength")
 
 
 def verdicts(bounds: DataFrame, penalties: DataFrame | None = None, ancestors: DataFrame | None = None, cfg: VerdictConfig = VerdictConfig()) -> DataFrame:
@@ -141,6 +144,14 @@ def verdicts(bounds: DataFrame, penalties: DataFrame | None = None, ancestors: D
     )
 
 
+def sweep(rows: DataFrame, curves: dict[str, PrevalenceCurve] = SWEEP) -> DataFrame:
+    """(doc_id, curve, p) of rows (doc_id, not_after, strength, penalty): the probability under each curve, in one pass."""
+    given = F.array(*[F.struct(F.lit(n).alias("curve"), F.lit(c.midpoint).alias("mid"), F.lit(c.steepness).alias("steep"), F.lit(c.floor).alias("floor"), F.lit(c.ceiling).alias("ceiling")) for n, c in curves.items()])
+    rows = rows.withColumn("x", F.explode(given))
+    curve = PrevalenceCurve(*[F.col(f"x.{k}") for k in ("mid", "steep", "floor", "ceiling")])
+    return rows.select("doc_id", "x.curve", F.round(raw_probability(F.col("not_after"), F.col("strength"), F.col("penalty"), VerdictConfig(curve=curve)), 9).alias("p"))
+
+
 def explain(verdicts: DataFrame) -> DataFrame:
     """Adds a line of text per verdict that says what the number rests on."""
     dated = F.concat(F.lit("existed by "), F.date_format("not_after", "yyyy-MM-dd"), F.lit(" on the word of "), F.col("independent_operators").cast("string"), F.lit(" independent operator(s)"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
 from ..operators import align, graph, lm, metrics, report, sketch, verdict, witness
+from ..sources import records
 from ..streaming import witnesses as stream
 from . import views
 from .views import table
@@ -108,12 +109,8 @@ def prevalence_sweep(spark, sf_dir):
     from ..operators import flags as rules
 
     every = views.targets(spark, sf_dir).select("doc_id").join(views.bounds(spark, sf_dir), "doc_id", "left").fillna(0.0, ["forgery_logodds"])
-    rows = every.join(rules.by_document(views.found_flags(spark, sf_dir)), "doc_id", "left").withColumn("s", F.round("forgery_logodds", 9))
-    curves = F.array(*[F.struct(F.lit(n).alias("curve"), *[F.lit(v).alias(k) for k, v in c.items()]) for n, c in _CURVES.items()])
-    rows = rows.withColumn("x", F.explode(curves))
-    curve = verdict.PrevalenceCurve(*[F.col(f"x.{k}") for k in ("mid", "steep", "floor", "ceiling")])
-    long = rows.select("x.curve", F.round(verdict.raw_probability(F.col("not_after"), F.col("s"), F.col("penalty"), verdict.VerdictConfig(curve=curve)), 9).alias("p"))
-    return long.groupBy("curve").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.min("p"), 6).alias("least_p"), F.round(F.max("p"), 6).alias("most_p"))
+    rows = every.join(rules.by_document(views.found_flags(spark, sf_dir)), "doc_id", "left").withColumn("strength", F.round("forgery_logodds", 9))
+    return verdict.sweep(rows).groupBy("curve").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.min("p"), 6).alias("least_p"), F.round(F.max("p"), 6).alias("most_p"))
 
 
 _KIND = "case when not_after < timestamp '2021-01-01' and {} >= {} then 'low' when not_after >= timestamp '2021-01-01' then 'contaminated' else 'unknown' end"
@@ -200,7 +197,7 @@ def tokens(spark, sf_dir):
     return _tokens(spark, sf_dir).select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOP_WORDS)
 
 
 @query(f"""with {_TOKENS}, r as (select doc_id, list_filter(w, lambda x: length(x) >= 4 and not list_contains([{_STOP}], x) and not regexp_full_match(x, '\\d+')) as r from tok)
@@ -316,9 +313,8 @@ def ancestor_match(spark, sf_dir):
     """The flagship: every document's oldest ancestor, ids standing for age."""
     p = _prints(spark, sf_dir)
     dated = p.withColumn("not_after", F.timestamp_seconds(F.lit(1_000_000_000) + F.col("doc_id") * 3600))
-    found = align.matches(p, dated, align.null_model(p))
-    older = found.where(F.col("r_id") < F.col("q_id"))
-    return align.oldest_ancestor(older).select("doc_id", "r_id", F.round("confidence", 4).alias("confidence"), "relation")
+    found = align.matches(p, dated, align.null_model(p), wanted=F.col("r_id") < F.col("q_id"))
+    return align.oldest_ancestor(found).select("doc_id", "r_id", F.round("confidence", 4).alias("confidence"), "relation")
 
 
 @query()
@@ -344,8 +340,9 @@ def url_normalise(spark, sf_dir):
 
 @query(r"""with h as (select lower(regexp_extract(trim(url), '//([^/?#]*)', 1)) as host, count(distinct url) as n from pages group by 1) select host, n, round(least(0.95, 1 - exp(-n / 60.0)), 6) as coverage from h""")
 def host_coverage(spark, sf_dir):
-    h = table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count_distinct("url").alias("n"))
-    return h.select("host", "n", F.round(F.least(F.lit(0.95), 1 - F.exp(-F.col("n") / 60.0)), 6).alias("coverage"))
+    keys = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.col("url").alias("urlkey"), F.lit(2018).alias("year"))
+    memo = records.host_year_coverage(keys, around=0, limit=1 << 40)
+    return memo.select("host", "n", F.round("coverage", 6).alias("coverage"))
 
 
 @query("""select doc_id, case doc_id % 4 when 0 then 'meta' when 1 then 'front_matter' when 2 then 'prose' else 'time' end as surface, strftime(date '1995-01-01' + to_days((doc_id % 9000)::int), '%Y-%m-%d') as claimed from documents""")
@@ -440,3 +437,6 @@ def witness_stream(spark, sf_dir):
     run = stream.windowed_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(_day("start"), "operator", "n")
+
+
+from . import more  # noqa: E402, F401

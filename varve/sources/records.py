@@ -155,12 +155,85 @@ def git_log(commits: DataFrame) -> DataFrame:
 
 
 def self_asserted(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """The document's own claims, distinct by surface and day, at most CLAIMS."""
-    said = dates.claims(docs)
+    """The document's own claims, distinct by field and day, at most CLAIMS: the target's first, then in the order that claims count."""
+    said = dates.claims_in_order(docs).select("doc_id", "field", "rank", "claimed")
     if targets is not None:
-        said = targets.where("claimed is not null").select("doc_id", F.lit("target").alias("surface"), "claimed").unionByName(said)
-    once = said.groupBy("doc_id", "surface", F.to_date("claimed").alias("day")).agg(F.min("claimed").alias("t"))
-    return _witness(_first_k(once, CLAIMS, "surface", "t"), "self", F.col("t"), F.col("surface"))
+        said = targets.where("claimed is not null").select("doc_id", F.lit("target.claimed_date").alias("field"), F.lit(-1).alias("rank"), "claimed").unionByName(said)
+    once = said.groupBy("doc_id", "field", F.to_date("claimed").alias("day")).agg(F.min(F.struct("rank", F.col("claimed").alias("t"))).alias("x"))
+    rows = once.select("doc_id", "field", "x.rank", "x.t")
+    return _witness(_first_k(rows, CLAIMS, "rank", "t"), "self", F.col("t"), F.col("field"))
+
+
+#: source -> whether it can say anything of a target (url, path, title, text, arxiv_id, doi); (fixed values)
+SUPPORTS: dict[str, Callable[[], Column]] = {
+    "wayback": lambda: F.col("url").isNotNull(),
+    "commoncrawl": lambda: F.col("url").isNotNull(),
+    "hackernews": lambda: F.col("url").isNotNull(),
+    "arxiv": lambda: F.col("arxiv_id").isNotNull() | F.col("title").isNotNull(),
+    "crossref": lambda: F.col("doi").isNotNull() | F.col("title").isNotNull(),
+    "github": lambda: urls.repository(F.col("url"))["owner"] != "",
+    "git": lambda: F.col("path").isNotNull(),
+    "self": lambda: F.col("text").isNotNull(),
+}
+
+
+def described(targets: DataFrame) -> DataFrame:
+    """Targets with every column that ``SUPPORTS`` reads: identifiers from the URL, a title guessed from the text."""
+    rows = targets
+    for c in ("url", "path", "title", "text"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    from ..functions import text as texts
+
+    return rows.withColumns({"arxiv_id": urls.arxiv_id(F.col("url")), "doi": urls.doi(F.col("url")), "title": F.coalesce("title", texts.guess_title(F.col("text")))})
+
+
+def applicable(targets: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, source): the sources to ask about each target."""
+    chosen = list(names or SUPPORTS)
+    rows = described(targets)
+    asked = F.filter(F.array(*[F.when(SUPPORTS[n](), F.lit(n)) for n in chosen]), lambda x: x.isNotNull())
+    return rows.select("doc_id", F.explode(asked).alias("source"))
+
+
+def registry_coverage(targets: DataFrame) -> DataFrame:
+    """(doc_id, source, coverage): what registries would know of a target (url, claimed) by its identifier and year. (fixed values)"""
+    year, known = F.year("claimed"), described(targets)
+    rules = {
+        "arxiv": F.when(F.col("arxiv_id").isNotNull() & (year >= 1992), 0.98).otherwise(0.0),
+        "crossref": F.when(F.col("doi").isNotNull() & (year >= 2000), 0.95).when(F.col("doi").isNotNull(), 0.4).otherwise(0.0),
+        "self": F.lit(0.0),
+    }
+    pairs = F.array(*[F.struct(F.lit(n).alias("source"), c.cast("double").alias("coverage")) for n, c in rules.items()])
+    return known.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.source", "x.coverage")
+
+
+def host_year_coverage(captures: DataFrame, around: int = 1, scale: float = 60.0, most: float = 0.95, limit: int = 400) -> DataFrame:
+    """(host, year, n, coverage): distinct paths of a host captured within ``around`` years, counted up to ``limit``, of rows (host, urlkey, year).
+
+    One row per host and year, whatever the number of targets that ask for it.
+    """
+    near = captures.where("urlkey <> ''").select("host", "urlkey", F.explode(F.sequence(F.col("year") - around, F.col("year") + around)).alias("year"))
+    n = near.groupBy("host", "year").agg(F.least(F.lit(limit).cast("bigint"), F.count_distinct("urlkey")).alias("n"))
+    return n.withColumn("coverage", F.least(F.lit(most), 1 - F.exp(-F.col("n") / scale)))
+
+
+def target_coverage(targets: DataFrame, memo: DataFrame, source: str = "wayback") -> DataFrame:
+    """(doc_id, source, coverage) of targets (doc_id, url, claimed) by the memo of hosts and years; 0 where nothing was captured."""
+    asked = targets.select("doc_id", urls.host(F.col("url")).alias("host"), F.year("claimed").alias("year"))
+    return asked.join(memo.select("host", "year", "coverage"), ["host", "year"], "left").select("doc_id", F.lit(source).alias("source"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
+def coverage_profile(parts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, coverage: source -> coverage) of rows (doc_id, source, coverage); the best of a source counts, and a source that failed or is silent has 0.
+
+    ``asked`` (doc_id, source) are the sources that apply, as of ``applicable``.
+    """
+    rows = parts.select("doc_id", "source", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    if asked is not None:
+        rows = asked.join(rows, ["doc_id", "source"], "left").select("doc_id", "source", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    best = rows.groupBy("doc_id", "source").agg(F.max("coverage").alias("coverage"))
+    return best.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "coverage")))).alias("coverage"))
 
 
 #: name -> parser of recorded responses, in the order they are asked.
@@ -171,6 +244,14 @@ def register(name: str, parser: Callable[[DataFrame], DataFrame]) -> None:
     REGISTRY[name] = parser
 
 
+def default_sources(names: Sequence[str] | None = None) -> list[str]:
+    """The known sources in the order they are asked, or those named; an unknown name is an error that lists the known."""
+    unknown = set(names or ()) - set(REGISTRY)
+    if unknown:
+        raise ValueError(f"unknown sources {sorted(unknown)}; known: {sorted(REGISTRY)}")
+    return list(REGISTRY) if names is None else list(names)
+
+
 def collect(tables: dict[str, DataFrame]) -> DataFrame:
     """All witnesses of the recorded tables by source name; unknown names are an error that lists the known."""
     unknown = set(tables) - set(REGISTRY)
