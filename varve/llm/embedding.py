@@ -74,9 +74,10 @@ class Index:
         """(queries, codes) distances by lookup in each query's tables for the list ``of``."""
         rest, total = x - self.centroids[of], np.zeros((len(x), len(codes)))
         for m, ((a, b), book) in enumerate(zip(self.cuts, self.books)):
-            tables = ((rest[:, None, a:b] - book[None]) ** 2).sum(axis=2)
+            part = rest[:, a:b]
+            tables = (part * part).sum(axis=1)[:, None] + (book * book).sum(axis=1) - 2 * part @ book.T
             total += tables[:, codes[:, m]]
-        return np.sqrt(total)
+        return np.sqrt(np.maximum(0, total))
 
 
 def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int = 256, seed: int = 5) -> Index:
