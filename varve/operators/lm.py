@@ -15,23 +15,34 @@ def words(text: str = "text") -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\s+"), lambda w: w != "")
 
 
-def ngrams(docs: DataFrame, order: int, end: bool = True) -> DataFrame:
-    """(doc_id, pos, n, ctx, tok): every token with its contexts of n - 1 words, n = 1..order; texts are padded at the start."""
+def ngrams(docs: DataFrame, order: int, end: bool = True, only: int | None = None) -> DataFrame:
+    """(doc_id, pos, n, ctx, tok): every token with its contexts of n - 1 words, n = 1..order (or ``only`` one n); texts are padded at the start."""
     pad = F.array(*[F.lit(START)] * (order - 1)) if order > 1 else F.array().cast("array<string>")
     parts = [pad, words(), *([F.array(F.lit(END))] if end else [])]
     seq = docs.select("doc_id", F.concat(*parts).alias("w"))
     grams = F.flatten(F.transform(
         F.when(F.size("w") >= order, F.sequence(F.lit(order), F.size("w"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array(*[F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("w", i - (n - 1), n - 1), " ").alias("ctx"), F.get("w", i - 1).alias("tok")) for n in range(1, order + 1)]),
+        lambda i: F.array(*[F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("w", i - (n - 1), n - 1), " ").alias("ctx"), F.get("w", i - 1).alias("tok")) for n in ((only,) if only else range(1, order + 1))]),
     ))
     return seq.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*")
 
 
 def fit(docs: DataFrame, order: int = 4) -> DataFrame:
-    """(n, ctx, tok, c, total): counts of n-grams and of their contexts, one count pass and one sum over its result."""
-    counts = ngrams(docs, order).groupBy("n", "ctx", "tok").agg(F.count("*").alias("c"))
-    totals = counts.groupBy("n", "ctx").agg(F.sum("c").alias("total"))
-    return counts.join(totals, ["n", "ctx"])
+    """(n, ctx, tok, c, total): counts of n-grams and of their contexts.
+
+    Only the longest n-grams are counted over the tokens; shorter ones are sums over the distinct longer ones, since a
+    token's shorter contexts are ends of its longest. The empty context is one group of the whole vocabulary, so its total
+    is a number that is sent, not a key that is joined.
+    """
+    longest = ngrams(docs, order, only=order).groupBy("ctx", "tok").agg(F.count("*").alias("c"))
+    ends = lambda n: F.when(F.lit(n) == 1, "").otherwise(F.substring_index("ctx", " ", -(n - 1)))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), (F.col("ctx") if n == order else ends(n)).alias("ctx")) for n in range(1, order + 1)]))
+    counts = longest.select("tok", "c", each.alias("g")).groupBy("g.n", "g.ctx", "tok").agg(F.sum("c").alias("c")).select("n", "ctx", "tok", "c")
+    first, longer = counts.where("n = 1"), counts.where("n > 1")
+    whole = first.join(F.broadcast(first.agg(F.sum("c").alias("total"))))
+    if order == 1:
+        return whole
+    return longer.join(longer.groupBy("n", "ctx").agg(F.sum("c").alias("total")), ["n", "ctx"]).unionByName(whole)
 
 
 def vocabulary_size(docs: DataFrame, order: int = 4) -> Column | int:
