@@ -78,11 +78,16 @@ def grams(text: Column) -> Column:
     return F.concat(words, pairs, *[runs(n) for n in (3, 4, 5)])
 
 
-def _damped(vector):
-    import numpy as np
-    from pyspark.ml.linalg import SparseVector
+#: Copies of a term in a document: STEPS * (1 + ln count), rounded. Vectors are scaled to length 1, so the factor has no effect.
+STEPS = 4
 
-    return SparseVector(vector.size, vector.indices, 1 + np.log(vector.values))
+
+def _terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, g): each document's grams, as often as their damped counts say. Documents without a gram have an empty array."""
+    counted = docs.select("doc_id", F.explode(grams(F.coalesce("text", F.lit("")))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c"))
+    times = F.round(STEPS * (1 + F.log("c"))).cast("int")
+    lists = counted.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat("g", times))).alias("g"))
+    return docs.select("doc_id").distinct().join(lists, "doc_id", "left").select("doc_id", F.coalesce("g", F.array().cast("array<string>")).alias("g"))
 
 
 @dataclass(frozen=True)
@@ -93,32 +98,25 @@ class LearnedDetector:
         """(doc_id, p)."""
         from pyspark.ml.functions import vector_to_array
 
-        counter, idf, scale, linear = self.stages
-        rows = linear.transform(scale.transform(idf.transform(_weighed(counter, docs))))
+        rows = _terms(docs)
+        for stage in self.stages:
+            rows = stage.transform(rows)
         return rows.select("doc_id", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
 
 
-def _weighed(counter, docs: DataFrame) -> DataFrame:
-    from pyspark.ml.linalg import VectorUDT
-
-    damped = F.udf(_damped, VectorUDT())
-    rows = counter.transform(docs.withColumn("_g", grams(F.coalesce("text", F.lit("")))))
-    return rows.withColumn("_t", damped("_c")).drop("_g", "_c")
-
-
 def fit_learned(labelled: DataFrame, features: int = FEATURES) -> LearnedDetector:
     """Logistic regression on damped TF-IDF of rows (doc_id, text, label). Terms in fewer than MIN_DF documents are left out."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 
-    rows = labelled.select("doc_id", "text", F.col("label").cast("double").alias("label"))
-    made = rows.withColumn("_g", grams(F.coalesce("text", F.lit(""))))
-    counter = CountVectorizer(inputCol="_g", outputCol="_c", vocabSize=features, minDF=MIN_DF).fit(made)
-    weighed = _weighed(counter, rows)
-    idf = IDF(inputCol="_t", outputCol="_i").fit(weighed)
-    scale = Normalizer(inputCol="_i", outputCol="_f")
+    marks = labelled.groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
+    rows = _terms(labelled).join(marks, "doc_id").persist()
+    counter = CountVectorizer(inputCol="g", outputCol="c", vocabSize=features, minDF=MIN_DF).fit(rows)
+    idf = IDF(inputCol="c", outputCol="i").fit(counter.transform(rows))
+    scale = Normalizer(inputCol="i", outputCol="f")
     n = max(1, rows.count())
-    linear = LogisticRegression(featuresCol="_f", labelCol="label", regParam=1 / (STRENGTH * n), standardization=False, maxIter=200).fit(scale.transform(idf.transform(weighed)))
+    linear = LogisticRegression(featuresCol="f", labelCol="label", regParam=1 / (STRENGTH * n), standardization=False, maxIter=200).fit(scale.transform(idf.transform(counter.transform(rows))))
+    rows.unpersist()
     return LearnedDetector((counter, idf, scale, linear))
 
 
