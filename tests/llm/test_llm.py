@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from varve.llm import chat, common, embedding, forest, media, mixing, neardup, packing, pretoken, quality, sharding, substring, tokens
+from varve.llm import chat, common, embedding, exchange, forest, media, mixing, neardup, packing, pretoken, quality, sharding, substring, tokens
 
 DOC = "doc_id bigint, text string, key string, n bigint"
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("rt", "st", "nd", "lp")]
@@ -300,6 +300,14 @@ def test_keys_joined_instead_of_filtered(spark, monkeypatch):
     assert by == {1: 0, 2: 64, 3: 0}
 
 
+def test_a_key_filter_finds_its_keys_and_hardly_any_others(spark):
+    keys = np.random.default_rng(5).integers(0, 2**63, 200_000, dtype=np.uint64)
+    own, others = keys[:26_000], keys[26_000:]
+    rows = spark.createDataFrame([(int(k),) for k in own], "key bigint")
+    found = exchange.key_filter(rows, len(own))
+    assert found.has(own).all() and found.has(others).mean() < 0.001
+
+
 def test_least_positions_equal_a_plain_scan():
     h = np.random.default_rng(8).integers(0, 2**63, 500, dtype=np.uint64)
     want = sorted({int(i + np.argmin(h[i : i + 46])) for i in range(len(h) - 45)})
