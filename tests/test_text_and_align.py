@@ -93,3 +93,32 @@ def test_backoff(spark):
 
 def test_md5_hash(spark):
     assert one(spark, "x", sketch.hash28) == int(hashlib.md5(b"x").hexdigest()[:7], 16)
+
+
+def test_fingerprints_equal_their_definitions(spark):
+    long = " ".join(f"word{i * i % 97} Größe{i % 13} 東京{i % 7}" for i in range(150))
+    docs = spark.createDataFrame([(1, long), (2, PROSE), (3, "ab"), (4, None), (5, long + " end")], "doc_id bigint, text string")
+    normal = text.normalise(docs)
+    prints = sketch.fingerprints(normal)
+    char = normal.select("doc_id", F.transform(F.array_distinct(sketch.char_shingles(F.col("flat"))), sketch.hash28).alias("h"))
+    word = normal.select("doc_id", F.transform(F.array_distinct(sketch.word_shingles(F.col("tokens"))), sketch.hash28).alias("h"))
+    got = {r.doc_id: r for r in prints.collect()}
+    for rows, c in ((char, "char"), (word, "word")):
+        for r in sketch.minhash(rows, "h", "m").collect():
+            assert got[r.doc_id][f"m_{c}"] == r.m and got[r.doc_id][f"n_{c}"] == len(r.h), (r.doc_id, c)
+    windows = {}
+    for r in sorted(sketch.window_sketches(prints).collect(), key=lambda r: (r.doc_id, r.idx)):
+        windows.setdefault(r.doc_id, []).extend(r.minhash)
+    assert {k: r.w for k, r in got.items()} == {k: windows.get(k, []) for k in got} and len(got[1].w) > 3 * sketch.WINDOW_SLOTS
+
+
+def test_searches_keep_no_table_in_memory_and_ask_every_twentieth(spark, tmp_path):
+    from varve.plans import queries
+
+    rows = [(i, " ".join(f"w{(i % 40) * 1000 + j}x" for j in range(60)), "en", "s", 1) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.ancestor_match(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.r_id, r.relation) for r in got.collect()) == [(40, 0, "identical"), (60, 20, "identical")]
+    both = queries.channel_containment(spark, str(tmp_path)).where("same").collect()
+    assert sorted((r.q_id, r.r_id) for r in both) == [(0, 40), (20, 60), (40, 0), (60, 20)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
