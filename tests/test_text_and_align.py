@@ -132,3 +132,16 @@ def test_own_detectability_equals_the_general_way(spark, monkeypatch):
     got = {r.doc_id: r for r in lm.own_detectability(docs).collect()}
     assert set(got) == set(want) == {1, 2, 5, 6}
     assert all(got[k].n == r.n and abs(got[k].logloss - r.logloss) < 1e-9 and abs(got[k].burstiness - r.burstiness) < 1e-6 for k, r in want.items())
+
+
+def test_benchmark_items_are_found_with_small_batches(spark, tmp_path):
+    from varve.plans import queries
+
+    words = [f"w{j}x" for j in range(60)]
+    docs = [(1, " ".join(f"v{j}y" for j in range(80))), (2, " ".join(words))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    got = queries.benchmark_passages(spark, str(tmp_path)).collect()
+    assert [(r.item_id, r.doc_id, r.relation) for r in got] == [(7, 2, "identical")]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
