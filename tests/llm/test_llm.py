@@ -308,6 +308,22 @@ def test_a_key_filter_finds_its_keys_and_hardly_any_others(spark):
     assert found.has(own).all() and found.has(others).mean() < 0.001
 
 
+def test_an_exchange_folds_and_scans_whole_groups_a_few_megabytes_at_a_time(spark):
+    def make(part):
+        for seed in part.column("key").to_pylist():
+            keys = np.random.default_rng(seed).integers(0, 50_000, 100_000).astype(np.uint64)
+            yield 0, [keys, np.full(len(keys), seed), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)]
+
+    said = lambda kind, keys: [np.array([n], np.int64) for n in (kind, len(keys), len(np.unique(keys)))]
+    fold = lambda kind, columns: (said(0, columns[0]), columns)
+    scan = lambda kind, columns: said(1, columns[0])
+    rows = spark.createDataFrame([(k, "word") for k in range(8)], "key bigint, text string").coalesce(1)
+    found = exchange.exchange(rows, make, fold, scan, ["<u8", "<i8", "<u4", "<u4"], "side bigint, n bigint, groups bigint", 1).collect()
+    for side in (0, 1):
+        assert sum(r.n for r in found if r.side == side) == 800_000 and max(r.n for r in found if r.side == side) * 24 < 10 << 20
+    assert sum(r.groups for r in found if r.side == 1) == len(np.unique(np.concatenate([np.random.default_rng(k).integers(0, 50_000, 100_000) for k in range(8)])))
+
+
 def test_least_positions_equal_a_plain_scan():
     h = np.random.default_rng(8).integers(0, 2**63, 500, dtype=np.uint64)
     want = sorted({int(i + np.argmin(h[i : i + 46])) for i in range(len(h) - 45)})

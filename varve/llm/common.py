@@ -6,6 +6,7 @@ executors share. It cuts lineage, and it outlives any executor.
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -42,6 +43,14 @@ def forget(*tables: DataFrame) -> None:
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def give_back() -> None:
+    """Return this worker's unused memory to the system: workers outlive their tasks, and an executor counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table written into the plan, without any Python on executors."""
     names = [c.split()[0] for c in schema.split(", ")]

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyfilter import FILTER_BITS, KEY_BITS, KeyFilter, key_filter  # noqa: F401
-from .common import batches_of, keep, split_by_bytes
+from .common import batches_of, give_back, keep, mix, split_by_bytes
 
-#: Rows that a task folds together.
-CHUNK = 1 << 19
+#: Bytes of rows that a task folds, or looks through, together; whole groups may be larger.
+CHUNK_BYTES = 6 << 20
 #: Bytes of blobs in one Arrow batch, and rows of any batch.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 64
 #: Bytes of text for each receiving task, where the session has fewer shuffle partitions.
@@ -58,8 +58,10 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
     """A written table of results of type ``found`` (names and types, all bigint) of groups of equal first columns.
 
     ``make(batch)`` yields (kind of row, columns); ``fold(kind, columns)`` gives (results known at once, columns to send, sorted by
-    the second); ``scan(kind, columns)`` gives the results of whole groups. Results are lists of int64 arrays.
+    the second); ``scan(kind, columns)`` gives the results of whole groups, some of a bucket's at a time. Results are lists of
+    int64 arrays.
     """
+    chunk = CHUNK_BYTES // sum(np.dtype(k).itemsize for k in kinds)
     names = [c.split()[0] for c in found.split(", ")]
     # a bucket for each task: the numbers that Spark's hash sends to each of them
     seats, number = {}, 0
@@ -103,10 +105,11 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
                     if len(columns[0]):
                         held.setdefault(kind, []).append(columns)
                         size[kind] = size.get(kind, 0) + len(columns[0])
-                        if size[kind] >= CHUNK:
+                        if size[kind] >= chunk:
                             yield from flush(kind)
         for kind in list(held):
             yield from flush(kind)
+        give_back()
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], names)
@@ -118,9 +121,15 @@ def exchange(rows: DataFrame, make: Callable, fold: Callable, scan: Callable, ki
                 else:
                     held.setdefault(kind, []).append(blob)
         for kind in list(held):
-            out = scan(kind, _unpack(held.pop(kind), kinds))
-            for s in range(0, len(out[0]), 65536):
-                yield as_batch([c[s : s + 65536] for c in out])
+            columns = _unpack(held.pop(kind), kinds)
+            pieces = -(-len(columns[0]) // chunk)
+            piece = mix(columns[0]) % np.uint64(pieces)
+            for k in range(pieces):
+                out = scan(kind, [c[piece == k] for c in columns] if pieces > 1 else columns)
+                for s in range(0, len(out[0]), 65536):
+                    yield as_batch([c[s : s + 65536] for c in out])
+            del columns, piece
+        give_back()
 
     sent = rows.mapInArrow(send, "bucket bigint, kind int, blob binary")
     # blobs are large, and so may texts be

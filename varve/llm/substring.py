@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, keep, mix, powers, shingles, split_by_bytes, words_of
+from .common import components, forget, give_back, keep, mix, powers, shingles, split_by_bytes, words_of
 from .exchange import FILTER_BITS, KEY_BITS, KeyFilter, exchange, key_filter, tasks_for
 from .neardup import BROADCAST_IDS
 
@@ -447,6 +447,7 @@ def deduplicate_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "t
                     clean.append(cut(t, s) if s else t), removed.append(sum(b - a for a, b in s)), kept_spans.append([{"s": a, "e": b} for a, b in s])
                 kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in sent), pa.array(clean, pa.string()), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_spans, kind)], [*sent, "clean", "n_words", "n_removed", "spans"])
+        give_back()
 
     kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in sent)
     out = placed.mapInArrow(run, f"{kinds}, clean string, n_words bigint, n_removed bigint, spans array<struct<s:bigint,e:bigint>>")
