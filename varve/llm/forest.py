@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, jaccard_at_least, keep, local_forest, split_by_bytes
+from .common import components, forget, give_back, jaccard_at_least, keep, local_forest, split_by_bytes
 
 #: A path is LEVELS bytes in a long, the first level uppermost.
 LEVELS = 8
@@ -134,6 +134,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, make: Callable[[pa.Array], list
                 keep_columns = [c for c in part.schema.names if c != "text"]
                 sets = pa.array([x.tobytes() for x in make(part.column("text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep_columns), sets], [*keep_columns, "set"])
+        give_back()
 
     later = rows.join(_sent(pairs.select(F.col("b").alias("key"), "a")), "key").mapInArrow(made, "key bigint, a bigint, set binary").select(F.col("key").alias("b"), "a", F.col("set").alias("y"))
     firsts = _sent(keep(pairs.select(F.col("a").alias("key")).distinct()))
@@ -221,6 +222,7 @@ def dense_links(inside: DataFrame, comp: DataFrame, rows: DataFrame, make: Calla
         for batch in batches:
             for part in split_by_bytes(batch):
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([x.tobytes() for x in make(part.column("text"))], pa.binary())], ["id", "set"])
+        give_back()
 
     ids = _sent(keep(dealt.select(F.col("id").alias("key")).distinct()))
     sets = keep(rows.join(ids, "key", "left_semi").select("key", "text").mapInArrow(made, "id bigint, set binary").dropDuplicates(["id"]))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, hidden, keep, minhash, permutations, shingles, split_by_bytes, words_of
+from .common import forget, give_back, hidden, keep, minhash, permutations, shingles, split_by_bytes, words_of
 from .forest import LEVELS, forest_components, forest_pairs, linked_components
 
 #: Ids up to so many are sent to every executor; beyond, the text is joined by a shuffle.
@@ -44,6 +44,7 @@ def signatures(rows: DataFrame, width: int, trees: int, seed: int = 8) -> DataFr
                 halves = [pa.array([None if d is None else int(np.uint64(d >> k & (2**64 - 1)).astype(np.int64)) for d in digests], pa.int64()) for k in (64, 0)]
                 offsets = pa.array(np.arange(len(sets) + 1) * trees, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n), *halves, pa.ListArray.from_arrays(offsets, pa.array(paths.view(np.int64).ravel()))], ["key", "n", "d1", "d2", "paths"])
+        give_back()
 
     return rows.mapInArrow(run, "key bigint, n bigint, d1 bigint, d2 bigint, paths array<bigint>")
 

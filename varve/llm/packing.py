@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken
+from .common import give_back
 from .tokens import default_path
 
 #: Bins of one group have ids group * 2**GROUP_BITS + bin.
@@ -74,6 +75,7 @@ def token_pieces(
                             ids.append(piece)
                 longs = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row, pa.int64())), *longs, *([pa.array(ids, pa.binary())] if keep_ids else [])], names)
+        give_back()
 
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
     schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids binary" if keep_ids else "")

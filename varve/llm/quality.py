@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_by_bytes
+from .common import give_back, split_by_bytes
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "max_word", "upper", "digit", "symbol", "stop", "pipe", "space", "non_ascii", "entropy",
@@ -164,6 +164,7 @@ def score(docs: DataFrame, model: Trees, *, key: str = "doc_id", text: str = "te
             for part in split_by_bytes(batch):
                 x = np.array([statistics(v.as_py()) for v in part.column("text")]).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(sent.value.score(x))], [*others, "score"])
+        give_back()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
     out = rows.mapInArrow(run, f"{kinds}, score double")
